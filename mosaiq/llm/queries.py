@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import minhash, mixing, quality_rules
+from mosaiq.llm import line_dedup, minhash, mixing, pieces, quality_rules
 from mosaiq.llm.common import read
 
 
@@ -10,6 +10,14 @@ def op3_mix(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op6_pieces(spark, sf_dir):
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -18,12 +26,12 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op7_quality_rules, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op3_mix, op5_line_dedup, op6_pieces, op7_quality_rules, op10_near_duplicates)}
 
 _OP10 = r"""
-WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) END AS s FROM docs),
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM docs),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 sh AS (SELECT doc_id, unnest(s) AS g FROM sets),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
