@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import line_dedup, minhash, mixing, pieces, quality_rules
+from mosaiq.llm import ann, html_text, line_dedup, minhash, mixing, pieces, quality_rules, toxicity
 from mosaiq.llm.common import read
 
 
+def op1_neighbours(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+def op2_main_text(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_mix(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -22,11 +30,15 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op5_line_dedup, op6_pieces, op7_quality_rules, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_main_text, op3_mix, op5_line_dedup, op6_pieces, op7_quality_rules, op9_toxicity, op10_near_duplicates)}
 
 _OP10 = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -42,4 +54,12 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.to_) AS component_id,
 FROM sizes s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
 """
 
-ORACLE_SQL = {"op10_near_duplicates": _OP10}
+#: At this size the windows hold all vectors, so the search is exact.
+_OP1 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+ORACLE_SQL = {"op1_neighbours": _OP1, "op10_near_duplicates": _OP10}
