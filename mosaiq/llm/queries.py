@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import ann, html_text, line_dedup, minhash, mixing, pieces, quality_rules, toxicity
+from mosaiq.llm import ann, cotraining, html_text, language_model, line_dedup, minhash, mixing, pieces, quality_rules, toxicity
 from mosaiq.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_mix(spark, sf_dir):
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark, sf_dir):
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_cotraining(spark, sf_dir):
+    return cotraining.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,7 +46,7 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_main_text, op3_mix, op5_line_dedup, op6_pieces, op7_quality_rules, op9_toxicity, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_main_text, op3_mix, op4_lm, op5_line_dedup, op6_pieces, op7_quality_rules, op8_cotraining, op9_toxicity, op10_near_duplicates)}
 
 _OP10 = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
