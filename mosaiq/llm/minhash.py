@@ -3,8 +3,9 @@
 One permutation (sigma, a hash of shingles to bins) breaks up structure; the other (pi, a table) is
 shifted circularly to give every signature coordinate: coordinate k of a set is the minimum of
 pi[(bin + k) mod bins]. Equal sets are first folded to one representative, so exact copies, however
-many, meet only in a partial aggregate. Candidates within a band's bucket are linked to its smallest
-member; what stays apart is then compared across components, so no true link inside a bucket is lost
+many, meet only in a partial aggregate. Candidates within a band's bucket are tried with its smallest
+and then its largest member; what stays apart is then compared across components, as far as the sketches
+of signatures leave the similarity possible. So no true link between components inside a bucket is lost,
 and a group of copies never gives all its pairs.
 """
 
@@ -61,6 +62,18 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def two_bits(sig: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, as longs: equal coordinates agree in both, others in each by chance."""
+    low = np.concatenate([sig & 1, (sig >> 1) & 1]).astype(np.uint8)
+    return np.packbits(np.append(low, np.zeros(-len(low) % 64, np.uint8))).view(np.int64)
+
+
+def bits_apart(k: int, percent: int) -> int:
+    """The most bits in which the sketches of a pair at the similarity may differ: mean and 5.5 deviations."""
+    j = percent / 100
+    return int(np.ceil(k * (1 - j) + 5.5 * np.sqrt(k * (1 - j) / 2 + k * j * (1 - j))))
+
+
 def _sketches(width: int, k: int, bands: int):
     def run(batches):
         lex = Lexicon()
@@ -69,16 +82,26 @@ def _sketches(width: int, k: int, bands: int):
             for key, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingle_set(lex(words(text)), width)
                 if len(s):
-                    out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), band_keys(signature(s, k), bands)))
+                    sig = signature(s, k)
+                    out.append((key, len(s), blake2b(s.tobytes(), digest_size=16).digest(), band_keys(sig, bands), two_bits(sig)))
                 else:
-                    out.append((key, 0, None, None))
-            out = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "bands"])
+                    out.append((key, 0, None, None, None))
+            out = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "bands", "bits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return run
 
 
+def _shingles(width: int):
+    def run(batches):
+        lex = Lexicon()
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["doc_id"], "comp": pdf["comp"], "shingles": [shingle_set(lex(words(t)), width).view(np.int64) for t in pdf["text"]]})
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     """(a, b) of the pairs whose full sets reach the similarity; the text of a leader is shingled once a batch."""
 
@@ -111,36 +134,66 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     have a null component and are kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(docs.mapInPandas(_sketches(width, k, bands), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    sketches = stored(docs.mapInPandas(_sketches(width, k, bands), "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>"))
     sets = sketches.filter("set_key is not null and doc_id is not null")
     reps = stored(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    nodes = reps.select(F.col("rep").alias("doc_id")).join(sets, "doc_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    members = nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).filter("size > 1"), "bucket")
-    members = stored(members)
+    nodes = reps.select(F.col("rep").alias("doc_id")).join(sets, "doc_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits", "bands")
+    buckets = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead"), F.max("node").alias("last")).filter("size > 1")
+    members = stored(buckets.join(crowded, "bucket").join(nodes.drop("bands").dropDuplicates(["node"]), "node"))
+
+    # The texts of all members are dealt out once; a merge join at every size, the ids being unbounded.
+    texts = stored(docs.join(members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
         both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         return stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(width, percent), "a long, b long"))
 
-    leads = members.select(F.col("lead").alias("a"), "bucket", F.col("n").alias("na")).filter(F.col("node") == F.col("lead"))
-    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    stars = members.filter("node <> lead").select("bucket", F.col("node").alias("b"), F.col("n").alias("nb")).join(leads, "bucket").filter(near).select("a", "b").distinct()
-    links = confirmed(stars)
-    first = connected_components(links)
-
-    # Buckets that still hold several components: every pair across components is tried.
-    left = members.filter("size > 2").join(first, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    apart = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stored(left.join(apart, "bucket"))
-    x = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-    more = confirmed(across.join(stars_seen(members, percent), ["a", "b"], "left_anti"))
-    joined = links.union(more)
-    comps = connected_components(joined) if more.limit(1).count() else first
+    words_in_bits = -(-2 * k // 64)
+    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(words_in_bits))
+    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {apart} <= {bits_apart(k, percent)}")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def stars(own: DataFrame, hub: str) -> DataFrame:
+        """Pairs of each bucket's hub with its members of other components."""
+        hubs = own.filter(F.col("node") == F.col(hub)).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("comp").alias("ca"))
+        rest = own.filter(F.col("node") != F.col(hub)).select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"))
+        return ordered(rest.join(hubs, "bucket").filter(near & (F.col("ca") != F.col("cb"))))
+
+    def placed_in(comps: DataFrame, own: DataFrame) -> DataFrame:
+        """Members of the buckets of three or more that hold several components yet."""
+        own = own.filter("size > 2").drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+        return stored(own.join(split, "bucket"))
+
+    first = stored(stars(members.withColumn("comp", F.col("node")), "lead"))
+    links = confirmed(first)
+    comps = connected_components(links)
+    left = placed_in(comps, members)
+    second = stored(stars(left, "last").join(first, ["a", "b"], "left_anti"))
+    links = links.union(confirmed(second))
+    comps = connected_components(links)
+    # What is still apart: every pair across components that sketches and shared shingles leave possible.
+    # A shingle that only one component holds can't be shared across, which bounds a pair's similarity.
+    left = placed_in(comps, left)
+    own = left.select(F.col("node").alias("doc_id"), "comp").distinct()
+    held = stored(texts.join(own, "doc_id").mapInPandas(_shingles(width), "node long, comp long, shingles array<long>"))
+    each = held.select("node", "comp", F.explode("shingles").alias("shingle"))
+    private = each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo = hi").select("shingle")
+    alone = each.join(private, "shingle").groupBy("node").agg(F.count("*").alias("own"))
+    # what a document can share at most with others must reach the similarity for itself
+    sets = held.join(alone, "node", "left").select("node", "shingles", (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("m")).filter(100 * F.col("m") >= percent * F.size("shingles"))
+    left = left.join(sets, "node")
+    x = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"), F.col("comp").alias("ca"), F.col("m").alias("ma"), F.col("shingles").alias("sa"))
+    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"), F.col("comp").alias("cb"), F.col("m").alias("mb"), F.col("shingles").alias("sb"))
+    can = F.expr(f"100 * least(ma, mb) >= {percent} * (na + nb - least(ma, mb))")
+    linked = F.expr(f"{100 + percent} * size(array_intersect(sa, sb)) >= {percent} * (na + nb)")
+    # The sets are compared within the join, so that only links leave it.
+    more = stored(ordered(x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can & near & linked)))
+    if more.limit(1).count():
+        comps = connected_components(links.union(more))
 
     placed = sketches.join(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp")), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
@@ -148,11 +201,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     return out.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def stars_seen(members: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the first round has tried already."""
-    return members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are their component's first, with their own columns only."""
     ids = near_duplicates(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_mq_gone")).distinct()
