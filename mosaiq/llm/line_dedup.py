@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication: SimHash, pigeonhole blocks, edit similarity, components.
 
 Lines are normalised and hashed exactly first, so that repeats of one line, however many, fold into one
-representative by partial aggregation. Representatives get a 64-bit SimHash of their word features; two
+representative by partial aggregation. Representatives get a 64-bit SimHash of their words; two
 that differ in at most 3 of its bits agree in at least two of five blocks, so ten tables keyed by a
 pair of blocks find them. Candidates are verified by word edit similarity on the lines themselves, and
 all but the first occurrence of each connected group of lines go.
@@ -9,9 +9,7 @@ all but the first occurrence of each connected group of lines go.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
-from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -19,45 +17,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Lexicon, bytes_of, connected_components, mix64, stored
+from mosaiq.llm.common import Lexicon, bytes_of, connected_components, stored
 
 _CUTS = (0, 13, 26, 39, 52, 64)
 _TABLES = tuple(combinations(range(5), 2))
-_DIGITS = re.compile(rb"[0-9]+")
-_EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
+_MARKS = b".,;:!?\"'()[]{}<>|*#$%&-_"
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
 def normal_words(line: bytes) -> list[bytes]:
-    """Words of a line as they are compared: A-Z lower-cased, numbers as 0, no punctuation at the edges."""
-    out = [w.strip(_EDGES) for w in _DIGITS.sub(b"0", line.lower()).split()]
-    return [w for w in out if w]
+    """Words of a line as they are compared: A-Z lower-cased, every digit as 0, ASCII punctuation dropped."""
+    return line.translate(_FOLD, _MARKS).split()
 
 
 @lru_cache(1)
-def _nibbles() -> np.ndarray:
+def _bits() -> np.ndarray:
     """Row v: the eight bits of byte v."""
-    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int16)
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes (runs begin at ``starts``): bit by bit the majority of its features.
+    """SimHash of each run of word hashes (runs begin at ``starts``): bit by bit the majority of its words.
 
-    Features are the words and their adjacent pairs. Bits are counted by runs with one pass a byte.
+    Bits are counted by runs with one pass a byte; a run's sums are kept in 32 bits.
     """
-    n = len(hashes)
-    with np.errstate(over="ignore"):
-        pairs = mix64(hashes[:-1] ^ (hashes[1:] * np.uint64(0x9E3779B97F4A7C15)))
-    pairs = np.append(pairs, hashes[-1:])
-    last = np.append(starts[1:], n) - 1
-    pairs[last] = hashes[last]  # a run's last word counts twice, its pair would cross into the next run
-    lengths = last + 1 - starts
+    lengths = np.diff(np.append(starts, len(hashes)))
     out = np.zeros(len(starts), np.uint64)
-    bits = _nibbles()
+    parts = hashes.view(np.uint8).reshape(-1, 8)
     for byte in range(8):
-        total = np.zeros((len(starts), 8), np.int32)
-        for feature in (hashes, pairs):
-            total += np.add.reduceat(bits[feature.view(np.uint8).reshape(-1, 8)[:, byte]], starts, axis=0, dtype=np.int32)
-        major = (total > lengths[:, None]).astype(np.uint8)
+        total = np.add.reduceat(_bits()[parts[:, byte]], starts, axis=0, dtype=np.int32)
+        major = (2 * total > lengths[:, None]).astype(np.uint8)
         out |= np.packbits(major, axis=1)[:, 0].astype(np.uint64) << np.uint64(8 * byte)
     return out
 
@@ -72,29 +61,30 @@ _SLICE = 1 << 18
 
 def _hash_lines(batches):
     """(doc_id, line, 128-bit hash of the normal words, SimHash) of every line with a normal word."""
+    from xxhash import xxh3_128_digest
+
     lex = Lexicon()
     for pdf in batches:
-        keys, nos, digests, runs, words, size = [], [], [], [], [], 0
+        keys, nos, digests, runs, words = [], [], [], [], []
 
         def flush():
-            h = np.concatenate([lex(w) for w in words])
+            h = lex(words)
             starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": simhashes(h, starts).view(np.int64)})
 
         for key, text in zip(pdf["doc_id"], pdf["text"]):
-            for no, line in enumerate(_lines(text)):
-                w = normal_words(line)
+            for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
+                w = line.split()
                 if w:
                     keys.append(key)
                     nos.append(no)
-                    digests.append(blake2b(b" ".join(w), digest_size=16).digest())
+                    digests.append(xxh3_128_digest(b" ".join(w)))
                     runs.append(len(w))
-                    words.append(w)
-                    size += len(w)
-                    if size >= _SLICE:
-                        yield flush()
-                        keys, nos, digests, runs, words, size = [], [], [], [], [], 0
+                    words += w
+            if len(words) >= _SLICE:
+                yield flush()
+                keys, nos, digests, runs, words = [], [], [], [], []
         if keys:
             yield flush()
 
@@ -202,12 +192,12 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     for t, (i, j) in enumerate(_TABLES):
         part = [F.shiftrightunsigned("sim", _CUTS[k]).bitwiseAND(F.lit((1 << (_CUTS[k + 1] - _CUTS[k])) - 1)) for k in (i, j)]
         keys.append(F.shiftleft(part[0], 17).bitwiseOR(F.shiftleft(part[1], 4)).bitwiseOR(F.lit(t)))
-    tables = reps.select("rep", "sim", F.explode(F.array(*keys)).alias("bucket"))
-    crowded = tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "sim")).alias("lead")).filter("size > 1")
-    members = stored(tables.join(crowded, "bucket").select("bucket", "rep", "sim", "size", F.col("lead.rep").alias("lead"), F.col("lead.sim").alias("lead_sim")))
+    tables = reps.select("rep", F.explode(F.array(*keys)).alias("bucket"))
+    crowded = tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1")
+    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", "sim").hint("merge"), "rep"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
+        """Of stored pairs, those that reach the edit similarity; their lines are fetched from the texts."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         spots = reps.join(ids, "rep", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "rep")).alias("s"))
         content = docs.join(spots, "doc_id").select("text", F.col("s.line").alias("lines"), F.col("s.rep").alias("reps")).mapInPandas(_wanted_lines, "rep long, content binary")
@@ -218,8 +208,9 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     def near(x: str, y: str):
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
 
-    stars = members.filter((F.col("rep") != F.col("lead")) & near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(stars)
+    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sim").alias("lead_sim"))
+    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    links = confirmed(stored(stars))
     first = connected_components(links)
     # Buckets that hold several components yet: pairs across components within the distance.
     left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sim", F.coalesce("comp", "rep").alias("comp"))
@@ -228,7 +219,7 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     x = left.select("bucket", F.col("rep").alias("a"), F.col("sim").alias("sa"), F.col("comp").alias("ca"))
     y = left.select("bucket", F.col("rep").alias("b"), F.col("sim").alias("sb"), F.col("comp").alias("cb"))
     across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb")).select("a", "b").distinct()
-    more = confirmed(across.join(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    more = confirmed(stored(across.join(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti")))
     comps = connected_components(links.union(more)) if more.limit(1).count() else first
 
     grouped = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "at", "n", F.coalesce("comp", "rep").alias("comp"))
