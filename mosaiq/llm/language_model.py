@@ -11,15 +11,16 @@ frequent words (a bounded number) in the workers and all others by a join.
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Lexicon, bucket_of, mix64, stored, words
+from mosaiq.llm.common import bucket_of, stored, words
 
-CLASSES, ROWS = 32, 1 << 14
+CLASSES, ROWS = 16, 1 << 14
 END = b"\n"  # no word holds white space
 _STEP = 8192
 
@@ -35,39 +36,51 @@ def tokens_of(text) -> list[bytes]:
 
 
 class Contexts:
-    """Tokens of texts as classes and feature rows; what is known of words seen lately is at hand (bounded)."""
-
-    def __init__(self, limit: int = 400_000):
-        self.lex, self.kinds, self.limit = Lexicon(limit), {}, limit
-
-    def classes(self, tokens: list[bytes]) -> np.ndarray:
-        kinds = self.kinds
-        if len(kinds) > self.limit:
-            kinds.clear()
-        try:
-            return np.fromiter(map(kinds.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            for w in set(tokens):
-                if w not in kinds:
-                    kinds[w] = class_of(w)
-            return np.fromiter(map(kinds.__getitem__, tokens), np.int64, len(tokens))
+    """Tokens of texts as classes and feature rows; hash, class and count of words seen lately are at hand (bounded)."""
+
+    def __init__(self, counts: dict[bytes, int] | None = None, limit: int = 400_000):
+        import xxhash
+
+        self._hash, self._counts, self._limit = xxhash.xxh3_64_intdigest, counts or {}, limit
+        self._clear()
+
+    def _clear(self):
+        self.number: dict[bytes, int] = {}
+        self.hashes, self.kinds, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self.number) > self._limit:
+            self._clear()
+        number = self.number
+        ids = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
+        missing = np.flatnonzero(ids < 0)
+        if len(missing):
+            new = list(dict.fromkeys(tokens[i] for i in missing.tolist()))
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            ids[missing] = [number[tokens[i]] for i in missing.tolist()]
+            self.hashes = np.append(self.hashes, np.fromiter(map(self._hash, new), np.uint64, len(new)))
+            self.kinds = np.append(self.kinds, np.fromiter(map(class_of, new), np.int64, len(new)))
+            self.counts = np.append(self.counts, np.fromiter(map(self._counts.get, new, repeat(0)), np.int64, len(new)))
+        return ids
 
     def __call__(self, tokens: list[bytes], first: np.ndarray):
-        """(classes, feature rows (n, 3)); ``first``: how far each token is from its text's start."""
-        h, k = self.lex(tokens), self.classes(tokens)
+        """(numbers, classes, feature rows (n, 3)); ``first``: how far each token is from its text's start."""
+        ids = self.numbers(tokens)
+        h, k = self.hashes[ids], self.kinds[ids]
         n = len(h)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         one[1:], two[2:] = h[:-1], h[:-2]
         one[first < 1], two[first < 2] = np.uint64(1), np.uint64(2)
-        ks = np.full((3, n), CLASSES, np.int64)
+        gram = np.zeros(n, np.int64)
         for back in (1, 2, 3):
-            ks[back - 1, back:] = k[:-back] if back < n + 1 else []
-            ks[back - 1, first < back] = CLASSES
-        gram = ((ks[0] * (CLASSES + 1) + ks[1]) * (CLASSES + 1) + ks[2]).astype(np.uint64)
+            before = np.full(n, CLASSES, np.int64)
+            before[back:] = k[: max(0, n - back)]
+            before[first < back] = CLASSES
+            gram = gram * (CLASSES + 1) + before
         shift = np.uint64(64 - ROWS.bit_length() + 1)
-        with np.errstate(over="ignore"):
-            rows = np.stack([mix64(one ^ np.uint64(0x51)) >> shift, mix64(two * np.uint64(3) ^ np.uint64(0xA7)) >> shift, mix64(gram ^ np.uint64(0xC3D1)) >> shift], axis=1)
-        return k, rows.astype(np.int64)
+        with np.errstate(over="ignore"):  # multiply and shift: the words' own hashes are well mixed
+            rows = np.stack([(one * np.uint64(0x9E3779B97F4A7C15)) >> shift, (two * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift, (gram.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> shift], axis=1)
+        return ids, k, rows.astype(np.uint16)
 
 
 def probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -80,7 +93,7 @@ def probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
-def _chunks(batches, ctx: Contexts, least: int):
+def _chunks(batches, least: int):
     """(texts' numbers of tokens, tokens, distance from the text's start) in pieces of at least ``least`` tokens, whole texts."""
     sizes, toks = [], []
     for pdf in batches:
@@ -108,15 +121,15 @@ def _updates(start: tuple[np.ndarray, np.ndarray], rate: float):
         w, bias = w0.copy(), bias0.copy()
         square = np.full(ROWS, 1e-2, np.float32)
         seen, n_all, ctx = np.zeros(ROWS, np.int64), 0, Contexts()
-        for _, toks, first in _chunks(batches, ctx, 4 * _STEP):
-            k_all, rows_all = ctx(toks, first)
+        for _, toks, first in _chunks(batches, 4 * _STEP):
+            _, k_all, rows_all = ctx(toks, first)
             for lo in range(0, len(toks), _STEP):
                 k, rows = k_all[lo : lo + _STEP], rows_all[lo : lo + _STEP]
                 miss = probabilities(w, bias, rows)
                 miss[np.arange(len(k)), k] -= 1
                 flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                at = flat[order]
+                order = np.argsort(flat, kind="stable")  # 16-bit keys: a radix sort
+                at = flat[order].astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 touched = at[starts]
                 g = np.add.reduceat(miss[order // 3], starts, axis=0)
@@ -166,7 +179,7 @@ def _counts(batches):
     seen: Counter = Counter()
 
     def out():
-        return pd.DataFrame({"word": list(seen.keys()), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+        return pd.DataFrame({"word": [w.decode() for w in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     for pdf in batches:
         for text in pdf["text"]:
@@ -184,8 +197,7 @@ def _scores(sent):
 
         w, bias, class_norm, head_words, head_counts = sent.value
         head = dict(zip(head_words, head_counts))
-        ctx, nth = Contexts(), TaskContext.get().partitionId() << 36
-        get, log10e = head.get, np.float32(np.log10(np.e))
+        ctx, nth = Contexts(head), TaskContext.get().partitionId() << 36
         for pdf in batches:
             made = []
             texts = pdf["text"].tolist()
@@ -198,16 +210,18 @@ def _scores(sent):
                     toks += t
                     hi += 1
                 n, toks, first = _chunk(sizes, toks)
-                k, rows = ctx(toks, first)
+                ids, k, rows = ctx(toks, first)
                 gain = np.empty(len(toks))
                 for a in range(0, len(toks), _STEP):
                     p = probabilities(w, bias, rows[a : a + _STEP])
                     gain[a : a + _STEP] = np.log10(np.maximum(p[np.arange(len(p)), k[a : a + _STEP]], 1e-30))
                 gain -= class_norm[k]
-                c = np.fromiter((get(t, 0) for t in toks), np.int64, len(toks))
+                c = ctx.counts[ids]
                 starts = np.cumsum(n) - n
-                ends = starts + n
-                tails = [[toks[s + i] for i in np.flatnonzero(c[s:e] == 0)] for s, e in zip(starts, ends)]
+                rare = np.flatnonzero(c == 0)
+                cuts = np.searchsorted(rare, np.append(starts, len(toks))).tolist()
+                rare_words = [toks[i] for i in rare.tolist()]
+                tails = [b" ".join(rare_words[x:y]).decode() for x, y in zip(cuts, cuts[1:])]
                 made.append(
                     pd.DataFrame(
                         {"n_tokens": n, "head_known": np.add.reduceat((c > 0).astype(np.int64), starts), "head_log": np.add.reduceat(np.log10(c + 1.0), starts), "gain": np.add.reduceat(gain, starts), "tail": tails}
@@ -227,7 +241,7 @@ def _scores(sent):
     return run
 
 
-def score(docs: DataFrame, head: int = 1 << 16, mod: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 17, mod: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Rows whose CRC-32 modulo ``mod`` is ``held`` are held out; the others are learned from, each once.
@@ -238,19 +252,19 @@ def score(docs: DataFrame, head: int = 1 << 16, mod: int = 7, held: int = 2) ->
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket_of(F.col("doc_id"), mod).alias("fold"))
     training = slim.filter(F.col("fold") != held)
-    counts = stored(training.select("text").mapInPandas(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    by_class = counts.groupBy((F.crc32(F.substring("word", 1, 3)) % CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    counts = stored(training.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    by_class = counts.groupBy((F.crc32(F.substring(F.col("word").cast("binary"), 1, 3)) % CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
         size[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     total, distinct = int(size.sum()), int(kinds.sum())
     known = [f for f in range(mod) if f != held]
     w, bias = train(slim, [known[0::2], known[1::2]], np.log((size + 1) / (size + 1).sum())) if total else (np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
-    top = counts.orderBy(F.col("c").desc(), "word").limit(head).collect()
-    sent = spark.sparkContext.broadcast((w, bias, np.log10(size + kinds + 1), [bytes(r["word"]) for r in top], [r["c"] for r in top]))
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, gain double, tail array<binary>"
+    top = counts.orderBy(F.col("c").desc(), "word").limit(head).toPandas()
+    sent = spark.sparkContext.broadcast((w, bias, np.log10(size + kinds + 1), [w.encode() for w in top["word"]], top["c"].tolist()))
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, gain double, tail string"
     rows = stored(slim.select("doc_id", "text", (F.col("fold") == held).alias("held_out")).mapInPandas(_scores(sent), schema))
-    tail = rows.select("uid", F.explode("tail").alias("word")).join(counts, "word").groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
+    tail = rows.filter("tail <> ''").select("uid", F.explode(F.split("tail", " ")).alias("word")).join(counts, "word").groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
     out = rows.drop("tail").join(tail, "uid", "left")
     logs = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
     return out.select(
