@@ -40,6 +40,7 @@ _MARKS = frozenset(
     widget widgets toolbar pagination pager search searchbox tags taglist contentinfo skip skiplink copyright legal disclaimer form dialog""".split()
 )
 _PARTS = re.compile(r"[^a-z0-9]+")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*$")
 _HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -164,6 +165,7 @@ class Lines(HTMLParser):
             self._linked += len(data)
 
     def finish(self) -> list[Line]:
+        self.rawdata = _CUT_TAG.sub("", self.rawdata)  # a tag that the page's end cuts off is no text
         self.close()
         self._flush()
         return self.lines
