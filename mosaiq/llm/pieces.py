@@ -262,7 +262,7 @@ class Tokenizer:
     def decode(self, ids) -> str:
         """The text of piece ids: byte pieces as bytes, markers as spaces, the first space dropped; control pieces are nothing."""
         surface = self.surface
-        text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -278,12 +278,19 @@ def marked(text: str) -> bytes:
     return (MARK + text.replace(" ", MARK)).encode("utf-8", "replace") if text else b""
 
 
+def units(text: str) -> list:
+    """Units of a text: bytes, or, where no two spaces meet, the words themselves, each behind one marker."""
+    if "  " in text or text[:1] == " " or MARK in text:
+        return _UNIT.findall(marked(text))
+    return text.split(" ")
+
+
 class BatchEncoder:
     """Ids of texts, with the ids of the units seen lately at hand (bounded)."""
 
-    def __init__(self, tok: Tokenizer, limit: int = 200_000):
+    def __init__(self, tok: Tokenizer, limit: int = 600_000):
         self.tok, self.limit = tok, limit
-        self.number: dict[bytes, int] = {}
+        self.number: dict = {}
         self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, units) -> None:
@@ -294,7 +301,7 @@ class BatchEncoder:
             self.number.clear()
             self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
             new = list(set(units))
-        ids = self.tok.viterbi(new)
+        ids = self.tok.viterbi([u if isinstance(u, bytes) else (MARK + u).encode("utf-8", "replace") for u in new])
         sizes = np.array([len(x) for x in ids], np.int64)
         first = len(self.flat)
         self.number |= {u: len(self.at) + k for k, u in enumerate(new)}
@@ -304,13 +311,13 @@ class BatchEncoder:
 
     def __call__(self, texts) -> list[np.ndarray]:
         out = []
-        units_of = [_UNIT.findall(marked(t)) if isinstance(t, str) and t else [] for t in texts]
+        units_of = [units(t) if isinstance(t, str) and t else [] for t in texts]
         for lo in range(0, len(units_of), 64):
             part = units_of[lo : lo + 64]
-            self._learn([u for units in part for u in units])
+            self._learn([u for found in part for u in found])
             get = self.number.__getitem__
-            for units in part:
-                k = np.fromiter(map(get, units), np.int64, len(units))
+            for found in part:
+                k = np.fromiter(map(get, found), np.int64, len(found))
                 size = self.size[k]
                 total = int(size.sum())
                 where = np.repeat(self.at[k] - (np.cumsum(size) - size), size) + np.arange(total)
