@@ -38,7 +38,8 @@ def affine(points: DataFrame, keys: list[str], weight: Column | None = None) ->
     return sums.select(*keys, "n", _solution().alias("affine"))
 
 
-def _error(a: Column) -> Column:
+def _error(a) -> Column:
+    """Distance between what the six coefficients ``a`` (an array column or a list of columns) predict and (dx, dy)."""
     return F.hypot(a[0] * F.col("sx") + a[1] * F.col("sy") + a[2] - F.col("dx"), a[3] * F.col("sx") + a[4] * F.col("sy") + a[5] - F.col("dy"))
 
 
@@ -55,8 +56,12 @@ def robust_affine(points: DataFrame, threshold: float = 2.0, refit: float = 1.0,
     rank = F.row_number().over(Window.partitionBy("pair", "deal").orderBy(F.xxhash64("id", "deal"), "id"))
     drawn = dealt.withColumn("rn", rank).filter(F.col("rn") <= 3 * triples).withColumn("guess", F.col("deal") * triples + F.floor((F.col("rn") - 1) / 3))
     guesses = affine(drawn, ["pair", "guess"]).filter("affine is not null").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("guess", "affine"))).alias("guesses"))
-    votes = good.join(guesses, "pair").select("pair", "sx", "sy", "dx", "dy", F.explode("guesses").alias("g")).filter(_error(F.col("g.affine")) <= threshold)
-    best = votes.groupBy("pair", "g.guess", "g.affine").agg(F.count("*").alias("votes")).groupBy("pair").agg(F.max_by("affine", F.struct("votes", -F.col("guess"))).alias("first"))
+    each = good.join(guesses, "pair").select("pair", "sx", "sy", "dx", "dy", F.explode("guesses").alias("g"))
+    a = [F.col("g.affine")[i].alias(f"a{i}") for i in range(6)]
+    # six doubles, not an array, so that votes are counted in a hash aggregate
+    votes = each.select("pair", "sx", "sy", "dx", "dy", F.col("g.guess").alias("guess"), *a).filter(_error([F.col(f"a{i}") for i in range(6)]) <= threshold)
+    counted = votes.groupBy("pair", "guess").agg(F.count("*").alias("votes"), *[F.first(f"a{i}").alias(f"a{i}") for i in range(6)])
+    best = counted.groupBy("pair").agg(F.max_by(F.array(*[f"a{i}" for i in range(6)]), F.struct("votes", -F.col("guess"))).alias("first"))
     again = affine(good.join(best, "pair").filter(_error(F.col("first")) <= threshold), ["pair"]).select("pair", F.col("affine").alias("second"))
     last = affine(good.join(again, "pair").filter(_error(F.col("second")) <= refit), ["pair"]).select("pair", F.col("n").alias("n_inliers"), "affine")
     sizes = good.groupBy("pair").agg(F.count("*").alias("n"))
