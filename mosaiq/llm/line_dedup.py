@@ -9,6 +9,7 @@ all but the first occurrence of each connected group of lines go.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Lexicon, bytes_of, connected_components, stored
+from mosaiq.llm.common import Lexicon, bytes_of, connected_components, discard, reclaim, stored
 
 _CUTS = (0, 13, 26, 39, 52, 64)
 _TABLES = tuple(combinations(range(5), 2))
@@ -55,12 +56,12 @@ def _lines(text) -> list[bytes]:
     return bytes_of(text).split(b"\n")
 
 
-_LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long"
+_LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long, words int"
 _SLICE = 1 << 18
 
 
 def _hash_lines(batches):
-    """(doc_id, line, 128-bit hash of the normal words, SimHash) of every line with a normal word."""
+    """(doc_id, line, 128-bit hash of the normal words, SimHash, number of words) of every line with a normal word."""
     from xxhash import xxh3_128_digest
 
     lex = Lexicon()
@@ -71,7 +72,7 @@ def _hash_lines(batches):
             h = lex(words)
             starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": simhashes(h, starts).view(np.int64)})
+            return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": simhashes(h, starts).view(np.int64), "words": runs})
 
         for key, text in zip(pdf["doc_id"], pdf["text"]):
             for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
@@ -146,14 +147,19 @@ def _confirm(least: float):
     def run(batches):
         for pdf in batches:
             words: dict = {}
+            bags: dict = {}
             keep = np.zeros(len(pdf), bool)
             for n, (a, b, x, y) in enumerate(zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"])):
                 for k, v in ((a, x), (b, y)):
                     if k not in words:
                         words[k] = normal_words(bytes(v))
-                x, y = words[a], words[b]
+                        bags[k] = Counter(words[k])
+                x, y, of_y = words[a], words[b], bags[b]
                 longest = max(len(x), len(y))
-                keep[n] = edit_distance(x, y, int((1 - least) * longest + 1e-9)) <= (1 - least) * longest + 1e-9
+                most = int((1 - least) * longest + 1e-9)
+                # An edit leaves all but one word of the longer line in common, in whatever order.
+                if longest - sum(min(c, of_y[w]) for w, c in bags[a].items() if w in of_y) <= most:
+                    keep[n] = edit_distance(x, y, most) <= most
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
@@ -185,8 +191,8 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     lines = stored(docs.mapInPandas(_hash_lines, _LINE_SCHEMA))
     at = F.struct("doc_id", "line")
-    folded = lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("sim").alias("sim"), F.count("*").alias("n"))
-    reps = stored(folded.select("h1", "h2", "at", "sim", "n", F.xxhash64("h1", "h2").alias("rep")))
+    folded = lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.count("*").alias("n"))
+    reps = stored(folded.select("h1", "h2", "at", "sim", "words", "n", F.xxhash64("h1", "h2").alias("rep")))
 
     keys = []
     for t, (i, j) in enumerate(_TABLES):
@@ -194,7 +200,8 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
         keys.append(F.shiftleft(part[0], 17).bitwiseOR(F.shiftleft(part[1], 4)).bitwiseOR(F.lit(t)))
     tables = reps.select("rep", F.explode(F.array(*keys)).alias("bucket"))
     crowded = tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1")
-    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", "sim").hint("merge"), "rep"))
+    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", "sim", "words").hint("merge"), "rep"))
+    reclaim(docs.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of stored pairs, those that reach the edit similarity; their lines are fetched from the texts."""
@@ -203,28 +210,37 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
         content = docs.join(spots, "doc_id").select("text", F.col("s.line").alias("lines"), F.col("s.rep").alias("reps")).mapInPandas(_wanted_lines, "rep long, content binary")
         content = stored(content.dropDuplicates(["rep"]))
         both = pairs.join(content.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(content.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
-        return stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(similarity), "a long, b long"))
-
-    def near(x: str, y: str):
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-
-    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sim").alias("lead_sim"))
-    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near("sim", "lead_sim")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        out = stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(similarity), "a long, b long"))
+        discard(content)
+        discard(pairs)
+        reclaim(docs.sparkSession)
+        return out
+
+    def near(x: str, y: str, words_x: str, words_y: str):
+        """Few bits differ, and the lengths leave the edit similarity possible: every missing word is an edit."""
+        bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+        return bits & (F.abs(F.col(words_x) - F.col(words_y)) <= (1 - similarity) * F.greatest(words_x, words_y) + 1e-9)
+
+    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sim").alias("lead_sim"), F.col("words").alias("lead_words"))
+    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near("sim", "lead_sim", "words", "lead_words")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(stored(stars))
     first = connected_components(links)
     # Buckets that hold several components yet: pairs across components within the distance.
-    left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sim", F.coalesce("comp", "rep").alias("comp"))
+    left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sim", "words", F.coalesce("comp", "rep").alias("comp"))
     apart = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     left = stored(left.join(apart, "bucket"))
-    x = left.select("bucket", F.col("rep").alias("a"), F.col("sim").alias("sa"), F.col("comp").alias("ca"))
-    y = left.select("bucket", F.col("rep").alias("b"), F.col("sim").alias("sb"), F.col("comp").alias("cb"))
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb")).select("a", "b").distinct()
+    x = left.select("bucket", F.col("rep").alias("a"), F.col("sim").alias("sa"), F.col("words").alias("wa"), F.col("comp").alias("ca"))
+    y = left.select("bucket", F.col("rep").alias("b"), F.col("sim").alias("sb"), F.col("words").alias("wb"), F.col("comp").alias("cb"))
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb", "wa", "wb")).select("a", "b").distinct()
     more = confirmed(stored(across.join(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti")))
     comps = connected_components(links.union(more)) if more.limit(1).count() else first
 
     grouped = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "at", "n", F.coalesce("comp", "rep").alias("comp"))
     heads = grouped.groupBy("comp").agg(F.min("at").alias("head"), F.sum("n").alias("total")).filter("total > 1").select("comp", "head")
     owned = stored(grouped.join(heads, "comp").select("h1", "h2", "comp", "head"))
+    for done in (members, left, links, more, reps):
+        discard(done)
+    reclaim(docs.sparkSession)
     gone = lines.join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
     return gone.select("doc_id", "line", "comp")
 
