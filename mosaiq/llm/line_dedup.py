@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Lexicon, bytes_of, connected_components, discard, reclaim, stored
+from mosaiq.llm.common import bytes_of, connected_components, discard, mix64, reclaim, stored
 
 _CUTS = (0, 13, 26, 39, 52, 64)
 _TABLES = tuple(combinations(range(5), 2))
@@ -33,21 +33,27 @@ def normal_words(line: bytes) -> list[bytes]:
 
 @lru_cache(1)
 def _bits() -> np.ndarray:
-    """Row v: the eight bits of byte v."""
-    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int16)
+    """Entry v: the eight bits of byte v, each in a byte of a 64-bit word, so that one addition counts all eight."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SimHash of each run of word hashes (runs begin at ``starts``): bit by bit the majority of its words.
 
-    Bits are counted by runs with one pass a byte; a run's sums are kept in 32 bits.
+    Bits are counted with one addition a byte and word. Counts in bytes hold for 255 words: longer runs
+    are counted in pieces, whose counts are then added in 32 bits.
     """
     lengths = np.diff(np.append(starts, len(hashes)))
     out = np.zeros(len(starts), np.uint64)
     parts = hashes.view(np.uint8).reshape(-1, 8)
+    pieces = -(-lengths // 255)
+    first = np.cumsum(pieces) - pieces
+    begins = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
     for byte in range(8):
-        total = np.add.reduceat(_bits()[parts[:, byte]], starts, axis=0, dtype=np.int32)
-        major = (2 * total > lengths[:, None]).astype(np.uint8)
+        total = np.add.reduceat(_bits()[parts[:, byte]], begins).view(np.uint8).reshape(-1, 8)
+        if len(begins) > len(starts):
+            total = np.add.reduceat(total, first, axis=0, dtype=np.int32)
+        major = (2 * total.astype(np.int32) > lengths[:, None]).astype(np.uint8)
         out |= np.packbits(major, axis=1)[:, 0].astype(np.uint64) << np.uint64(8 * byte)
     return out
 
@@ -57,35 +63,58 @@ def _lines(text) -> list[bytes]:
 
 
 _LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long, words int"
-_SLICE = 1 << 18
+_SLICE = 1 << 17
+_BYTE = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
+_SPAN = 1 << 16
+
+
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(_SPAN, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(line_words: bytes) -> np.ndarray:
+    """64-bit hashes of words that are parted by single spaces: a polynomial of the bytes of each, mixed with its length.
+
+    Collisions only make more candidates or fewer bits differ; lines are compared by their words.
+    """
+    codes = np.frombuffer(line_words, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(codes == 32) + 1])
+    lengths = np.diff(np.append(starts, len(codes) + 1))
+    offsets = np.arange(len(codes)) - np.repeat(starts, lengths)[: len(codes)]
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTE[codes] * _powers()[offsets % _SPAN], starts)
+        return mix64(sums ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
 def _hash_lines(batches):
     """(doc_id, line, 128-bit hash of the normal words, SimHash, number of words) of every line with a normal word."""
     from xxhash import xxh3_128_digest
 
-    lex = Lexicon()
     for pdf in batches:
-        keys, nos, digests, runs, words = [], [], [], [], []
+        keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
 
         def flush():
-            h = lex(words)
             starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": simhashes(h, starts).view(np.int64), "words": runs})
+            sim = simhashes(word_hashes(b" ".join(lines)), starts)
+            return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": sim.view(np.int64), "words": runs})
 
         for key, text in zip(pdf["doc_id"], pdf["text"]):
             for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
                 w = line.split()
                 if w:
+                    line = b" ".join(w)
                     keys.append(key)
                     nos.append(no)
-                    digests.append(xxh3_128_digest(b" ".join(w)))
+                    digests.append(xxh3_128_digest(line))
                     runs.append(len(w))
-                    words += w
-            if len(words) >= _SLICE:
+                    lines.append(line)
+                    held += len(w)
+            if held >= _SLICE:
                 yield flush()
-                keys, nos, digests, runs, words = [], [], [], [], []
+                keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
         if keys:
             yield flush()
 

@@ -206,6 +206,24 @@ def test_edit_distance_is_exact_within_its_bound():
         assert line_dedup.edit_distance(x, y, most) == min(slow_edit(x, y), most + 1)
 
 
+def test_simhash_is_the_majority_of_the_bits():
+    rng = np.random.default_rng(5)
+    for lengths in ([1, 2, 3, 255, 256, 510, 511, 7000, 1], [1], [600], [4, 4]):
+        words = rng.integers(0, 2**63, sum(lengths), dtype=np.uint64) << np.uint64(1)
+        starts = np.cumsum([0, *lengths[:-1]])
+        found = line_dedup.simhashes(words, starts)
+        for got, at, n in zip(found, starts, lengths):
+            run = words[at : at + n]
+            assert int(got) == sum(1 << k for k in range(64) if 2 * int(((run >> np.uint64(k)) & np.uint64(1)).sum()) > n)
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [b"a", b"b", b"ab", b"ba", b"a" * 70_000, b"a" * 70_001, "größe".encode(), b"a", b"0", b"00"]
+    found = line_dedup.word_hashes(b" ".join(words))
+    assert [int(x) for x in found] == [int(line_dedup.word_hashes(w)[0]) for w in words]
+    assert len(set(found.tolist())) == len(set(words))
+
+
 def test_line_dedup_removes_exact_and_fuzzy_repeats(spark):
     rng = random.Random(6)
     base = [prose(rng, 60) for _ in range(30)]
@@ -216,7 +234,7 @@ def test_line_dedup_removes_exact_and_fuzzy_repeats(spark):
     removed = {i: r["n_removed"] for i, r in got.items()}
     assert {i: removed[i] for i in (0, 1, 3, 4, 5, 6, 7)} == {0: 0, 1: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0}
     words = [line_dedup.normal_words(t.encode()) for t in (base[0], " ".join(changed))]
-    h = [np.array([common.Lexicon()([w])[0] for w in ws]) for ws in words]
+    h = [line_dedup.word_hashes(b" ".join(ws)) for ws in words]
     sims = [int(line_dedup.simhashes(x, np.array([0]))[0]) for x in h]
     assert removed[2] == int(bin(sims[0] ^ sims[1]).count("1") <= 3)
     kept = line_dedup.keep_first(docs_of(spark, texts + [base[7], base[7]]))
