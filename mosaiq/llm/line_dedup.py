@@ -1,10 +1,11 @@
-"""Fuzzy line de-duplication: SimHash, pigeonhole blocks, edit similarity, components.
+"""Fuzzy line de-duplication: SimHash, pigeonhole blocks, runs of words, edit similarity, components.
 
 Lines are normalised and hashed exactly first, so that repeats of one line, however many, fold into one
 representative by partial aggregation. Representatives get a 64-bit SimHash of their words; two
 that differ in at most 3 of its bits agree in at least two of five blocks, so ten tables keyed by a
-pair of blocks find them. Candidates are verified by word edit similarity on the lines themselves, and
-all but the first occurrence of each connected group of lines go.
+pair of blocks find them. Lines of an edit similarity of 0.8 differ in some 13 bits, though: they are found by
+the runs of words that they must share (see ``run_keys``). Candidates are verified by word edit similarity on
+the lines themselves, and all but the first occurrence of each connected group of lines go.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,60 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Runs of words kept a line, and bits of their keys.
+RUNS, _KEY_BITS = 16, 40
+
+
+def _lowest(owner: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` smallest distinct keys of each owner, as owner << _KEY_BITS | key, in order."""
+    x = np.unique((owner.astype(np.uint64) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS)))
+    who = x >> np.uint64(_KEY_BITS)
+    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most]
+
+
+def run_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ends by line) of runs of words, by which lines of an edit similarity of at least 0.8 find each other.
+
+    Of the n words of the longer line at least 0.8 n are left, in at most 0.2 n + 1 runs. So two lines share four words
+    in a row if n > 15, three if n > 5; if n is 5, their first two or last two words. Up to 15 words all these runs
+    are keys, which misses no pair. Longer lines keep the RUNS smallest hashes of their runs of four: at
+    0.8 and random edits a quarter of all runs are common, and several of them lie below both lines' bounds.
+    """
+    lengths = np.diff(np.append(starts, len(hashes)))
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    left = np.repeat(lengths + starts, lengths) - np.arange(len(hashes))  # words from here to the line's end
+    whole = np.repeat(lengths, lengths)
+
+    def runs(at: np.ndarray, width: int, salt: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            sums = np.full(len(at), salt, np.uint64)
+            for k in range(width):
+                sums = (sums ^ hashes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                sums ^= sums >> np.uint64(32)
+        return mix64(sums)
+
+    found = []
+    for width, salt, chosen in ((2, 2, (left == whole) & (whole >= 4) & (whole <= 5)), (2, 5, (left == 2) & (whole >= 4) & (whole <= 5)), (3, 3, (left >= 3) & (whole >= 5) & (whole <= 15)), (4, 4, (left >= 4) & (whole >= 13))):
+        at = np.flatnonzero(chosen)
+        found.append(_lowest(owner[at], runs(at, width, salt), RUNS))
+    x = np.unique(np.concatenate(found))
+    ends = np.searchsorted(x >> np.uint64(_KEY_BITS), np.arange(len(starts)).astype(np.uint64), side="right")
+    return (x & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64), ends
+
+
+def parities(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit words a line: of each of 128 classes of words, whether the line has an odd number. An edit flips two bits at most."""
+    bits = np.uint64(1) << (hashes & np.uint64(63))
+    second = (hashes & np.uint64(64)) > 0
+    return [np.bitwise_xor.reduceat(np.where(second == half, bits, np.uint64(0)), starts).view(np.int64) for half in (False, True)]
+
+
 def _lines(text) -> list[bytes]:
     return bytes_of(text).split(b"\n")
 
 
-_LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long, words int"
+_LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long, words int, p1 long, p2 long, runs array<long>"
 _SLICE = 1 << 17
 _BYTE = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
 _SPAN = 1 << 16
@@ -89,19 +140,22 @@ def word_hashes(line_words: bytes) -> np.ndarray:
 
 
 def _hash_lines(batches):
-    """(doc_id, line, 128-bit hash of the normal words, SimHash, number of words) of every line with a normal word."""
+    """(doc_id, line, 128-bit hash of the normal words, SimHash, number of words, keys) of every line with a normal word."""
     from xxhash import xxh3_128_digest
 
-    for pdf in batches:
+    for batch in batches:
         keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
 
         def flush():
             starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            sim = simhashes(word_hashes(b" ".join(lines)), starts)
-            return pd.DataFrame({"doc_id": keys, "line": nos, "h1": d[:, 0], "h2": d[:, 1], "sim": sim.view(np.int64), "words": runs})
+            hashes = word_hashes(b" ".join(lines))
+            found, ends = run_keys(hashes, starts)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found, pa.int64()))
+            columns = [pa.array(keys, pa.int64()), pa.array(nos, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(simhashes(hashes, starts).view(np.int64)), pa.array(runs, pa.int32()), *map(pa.array, parities(hashes, starts)), listed]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "h1", "h2", "sim", "words", "p1", "p2", "runs"])
 
-        for key, text in zip(pdf["doc_id"], pdf["text"]):
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
                 w = line.split()
                 if w:
@@ -112,9 +166,9 @@ def _hash_lines(batches):
                     runs.append(len(w))
                     lines.append(line)
                     held += len(w)
-            if held >= _SLICE:
-                yield flush()
-                keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
+                    if held >= _SLICE:
+                        yield flush()
+                        keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
         if keys:
             yield flush()
 
@@ -209,8 +263,9 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     """(doc_id, line, comp) of every line of ``docs`` (doc_id, text) that isn't the first of its group.
 
     Lines end at \\n and count from 0. Two lines belong together if their normal words are equal, or if
-    their SimHashes differ in at most ``distance`` (3) bits and their word edit similarity, 1 - edits /
-    words of the longer, is at least ``similarity``. The first occurrence is the one of the smallest
+    they are candidates and their word edit similarity, 1 - edits / words of the longer, is at least
+    ``similarity``. Candidates have SimHashes that differ in at most ``distance`` (3) bits, or share a key of
+    ``run_keys``; for a ``similarity`` below 0.8 that misses more. The first occurrence is the one of the smallest
     (doc_id, line); comp names it by its representative. Lines without a normal word, or shorter
     than ``min_words``, never count as repeats. Rows without doc_id take no part. Rows that share a
     doc_id count as one document: of lines equal in doc_id and number, all go or stay together.
@@ -218,18 +273,24 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
     if distance > 3:
         raise ValueError("the tables of block pairs hold for at most 3 differing bits")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    lines = stored(docs.mapInPandas(_hash_lines, _LINE_SCHEMA))
+    hashed = stored(docs.mapInArrow(_hash_lines, _LINE_SCHEMA))
     at = F.struct("doc_id", "line")
-    folded = lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.count("*").alias("n"))
-    reps = stored(folded.select("h1", "h2", "at", "sim", "words", "n", F.xxhash64("h1", "h2").alias("rep")))
+    folded = hashed.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.first("runs").alias("runs"), F.count("*").alias("n"))
+    reps = stored(folded.select("h1", "h2", "at", "sim", "words", "p1", "p2", "runs", "n", F.xxhash64("h1", "h2").alias("rep")))
+    lines = stored(hashed.select("doc_id", "line", "h1", "h2"))
+    discard(hashed)
+    reclaim(docs.sparkSession)
 
     keys = []
     for t, (i, j) in enumerate(_TABLES):
         part = [F.shiftrightunsigned("sim", _CUTS[k]).bitwiseAND(F.lit((1 << (_CUTS[k + 1] - _CUTS[k])) - 1)) for k in (i, j)]
         keys.append(F.shiftleft(part[0], 17).bitwiseOR(F.shiftleft(part[1], 4)).bitwiseOR(F.lit(t)))
-    tables = reps.select("rep", F.explode(F.array(*keys)).alias("bucket"))
-    crowded = tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1")
-    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", "sim", "words").hint("merge"), "rep"))
+    by_runs = F.transform("runs", lambda k: k.bitwiseOR(F.lit(1 << _KEY_BITS)))
+    tables = reps.select("rep", F.explode(F.concat(F.array(*keys), by_runs)).alias("bucket"))
+    crowded = stored(tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1"))
+    reclaim(docs.sparkSession)
+    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", F.struct("sim", "words", "p1", "p2").alias("sign")).hint("merge"), "rep"))
+    discard(crowded)
     reclaim(docs.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -245,22 +306,24 @@ def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_wor
         reclaim(docs.sparkSession)
         return out
 
-    def near(x: str, y: str, words_x: str, words_y: str):
-        """Few bits differ, and the lengths leave the edit similarity possible: every missing word is an edit."""
-        bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-        return bits & (F.abs(F.col(words_x) - F.col(words_y)) <= (1 - similarity) * F.greatest(words_x, words_y) + 1e-9)
+    def near(bucket, x, y):
+        """Few bits differ, if blocks of bits made the bucket, and lengths and parities leave the edit similarity possible."""
+        bits = (bucket >= (1 << _KEY_BITS)) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= distance)
+        most = (1 - similarity) * F.greatest(x["words"], y["words"]) + 1e-9
+        flips = F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"]))
+        return bits & (F.abs(x["words"] - y["words"]) <= most) & (flips <= 2 * F.floor(most))
 
-    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sim").alias("lead_sim"), F.col("words").alias("lead_words"))
-    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near("sim", "lead_sim", "words", "lead_words")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sign").alias("lead_sign"))
+    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near(F.col("bucket"), F.col("sign"), F.col("lead_sign"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(stored(stars))
     first = connected_components(links)
     # Buckets that hold several components yet: pairs across components within the distance.
-    left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sim", "words", F.coalesce("comp", "rep").alias("comp"))
+    left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sign", F.coalesce("comp", "rep").alias("comp"))
     apart = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     left = stored(left.join(apart, "bucket"))
-    x = left.select("bucket", F.col("rep").alias("a"), F.col("sim").alias("sa"), F.col("words").alias("wa"), F.col("comp").alias("ca"))
-    y = left.select("bucket", F.col("rep").alias("b"), F.col("sim").alias("sb"), F.col("words").alias("wb"), F.col("comp").alias("cb"))
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("sa", "sb", "wa", "wb")).select("a", "b").distinct()
+    x = left.select("bucket", F.col("rep").alias("a"), F.col("sign").alias("sa"), F.col("comp").alias("ca"))
+    y = left.select("bucket", F.col("rep").alias("b"), F.col("sign").alias("sb"), F.col("comp").alias("cb"))
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(x["bucket"], F.col("sa"), F.col("sb"))).select("a", "b").distinct()
     more = confirmed(stored(across.join(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti")))
     comps = connected_components(links.union(more)) if more.limit(1).count() else first
 

@@ -253,6 +253,35 @@ def test_tables_find_every_pair_within_three_bits():
         assert any(part[0][i] == part[1][i] and part[0][j] == part[1][j] for i, j in line_dedup._TABLES)
 
 
+def test_parities_flip_two_bits_an_edit_at_most():
+    rng = random.Random(4)
+    for _ in range(200):
+        x = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))]
+        y = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))] if rng.random() < 0.5 else x[: rng.randint(1, len(x))]
+        h = line_dedup.word_hashes(" ".join(x + y).encode())
+        flips = sum((int(p.view(np.uint64)[0]) ^ int(p.view(np.uint64)[1])).bit_count() for p in line_dedup.parities(h, np.array([0, len(x)])))
+        assert flips <= 2 * slow_edit(x, y)
+
+
+def test_line_dedup_finds_nearly_all_lines_of_edit_similarity_08(spark):
+    rng = random.Random(12)
+    lines = []
+    for n in [*range(1, 25), 30, 40, 60, 100, 200] * 6:
+        x = [f"{chr(97 + rng.randrange(26))}{prose(rng, 1)}{chr(97 + rng.randrange(26))}" for _ in range(n)]
+        y = list(x)
+        for _ in range(n // 5):
+            at = rng.randrange(len(y))
+            y[at : at + 1] = rng.choice([[], [y[at], "new"], ["new"], ["new"]])
+        lines += [" ".join(x), " ".join(y)]
+    words = [line_dedup.normal_words(x.encode()) for x in lines]
+    wanted = [(i, j) for i in range(len(words)) for j in range(i) if 5 * abs(len(words[i]) - len(words[j])) <= max(map(len, (words[i], words[j]))) and line_dedup.edit_distance(words[i], words[j], k := max(len(words[i]), len(words[j])) // 5) <= k]
+    assert len(wanted) > 150
+    comp = {r["line"]: r["comp"] for r in line_dedup.repeats(docs_of(spark, ["\n".join(lines)])).collect()}
+    found = sum(i in comp and comp.get(j, comp[i]) == comp[i] for i, j in wanted)
+    assert found >= 0.98 * len(wanted)
+    assert set(comp) <= {i for pair in wanted for i in pair}
+
+
 # 6 pieces -----------------------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not pieces.available(), reason="needs the vocabulary file")
