@@ -185,6 +185,11 @@ def test_language_model_learns_context(spark):
     assert language_model.score(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_word_beginnings_fall_into_more_than_16_classes():
+    kinds = {language_model.class_of(f"{a}{b}".encode()) for a in "abcdefghijklmnopqrstuvwxyz" for b in range(10)}
+    assert kinds == set(range(language_model.CLASSES)) and len(kinds) >= 32
+
+
 # 5 line dedup -------------------------------------------------------------------------------------------
 
 
