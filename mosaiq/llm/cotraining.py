@@ -2,7 +2,8 @@
 
 The text view sees shares and hashed words of the whole text; the metadata view sees source, language
 and stated length. Each is a logistic model. Over rounds, each view labels the unlabelled rows that it
-is surest of, and the other learns from them too. At the end both are calibrated on labelled rows that
+is surest of, and the other learns from them too. Labelled rows are a bounded sample; of the unlabelled ones all
+take part, through histograms of scores and sums of Newton steps over the whole table. At the end both are calibrated on labelled rows that
 neither learned from, their calibrated log odds are combined, and every document is scored.
 """
 
@@ -12,10 +13,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Lexicon, bytes_of, sample_by_hash
+from mosaiq.llm.common import Lexicon, bytes_of, sample_by_hash, stored
 
 HASHED, SOURCES, LANGS = 128, 64, 16
 _UPPER = bytes(range(65, 91))
@@ -76,6 +78,24 @@ class Logistic:
         self.b = b
         return self
 
+    def copy(self) -> Logistic:
+        out = Logistic()
+        out.mean, out.scale, out.b = self.mean, self.scale, self.b
+        return out
+
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the rows at the present weights, without the penalty."""
+        a = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
+        p = 1 / (1 + np.exp(-np.clip(a @ self.b, -30, 30)))
+        return weight * (a.T @ (y - p)), weight * ((a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a)
+
+    def step(self, gradient: np.ndarray, hessian: np.ndarray, ridge: float = 1.0) -> float:
+        penalty = np.full(len(self.b), ridge)
+        penalty[0] = 1e-6
+        step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * self.b)
+        self.b = self.b + step
+        return float(np.abs(step).max())
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.b[0] + ((x - self.mean) / self.scale) @ self.b[1:], -30, 30)
 
@@ -84,43 +104,98 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-z))
 
 
+_BINS = 6000
+
+
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.minimum(((z + 30) * (_BINS / 60)).astype(np.int64), _BINS - 1)
+
+
+def _log_odds(model, x: np.ndarray) -> np.ndarray:
+    view, calibration = model
+    return calibration.logit(view.logit(x)[:, None])
+
+
+def _histogram(views: list[np.ndarray], models: list) -> np.ndarray:
+    """Rows by bin of each view's calibrated log odds, and their number."""
+    return np.concatenate([np.bincount(_bins(_log_odds(m, x)), minlength=_BINS) for m, x in zip(models, views)] + [[len(views[0])]]).astype(float)
+
+
+def _given(views: list[np.ndarray], rules: list) -> list[np.ndarray]:
+    """Labels that each view has been given by the other, the earliest first; -1: none. A rule is a round's (model, low bin, high bin) by view."""
+    label = [np.full(len(views[0]), -1) for _ in views]
+    for turn in rules:
+        for v, (model, low, high) in enumerate(turn):
+            at, to = _bins(_log_odds(model, views[v])), label[1 - v]
+            to[(to < 0) & (at >= high)] = 1
+            to[(to < 0) & (at <= low)] = 0
+    return label
+
+
+def _steps(views: list[np.ndarray], rules: list, models: list) -> np.ndarray:
+    """Number, gradient and Hessian of the rows that each view has been given, in one vector."""
+    out = []
+    for x, label, model in zip(views, _given(views, rules), models):
+        rows = np.flatnonzero(label >= 0)
+        gradient, hessian = model.sums(x[rows].astype(float), label[rows], 0.5)
+        out += [[len(rows)], gradient, hessian.ravel()]
+    return np.concatenate(out)
+
+
 class CoTrained:
     """Two views, their calibrations and the combination of their log odds."""
 
-    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> CoTrained:
-        """``y`` is 1, 0, or -1 where unlabelled. Every fifth labelled row calibrates and teaches nothing."""
-        known = np.flatnonzero(y >= 0)
-        held, own = known[::5], np.setdiff1d(known, known[::5])
-        free = np.flatnonzero(y < 0)
-        views = [text, meta]
-        given = [dict.fromkeys(own.tolist(), None) for _ in views]
-        label = [y.astype(float).copy() for _ in views]
-        self.taught = 0
-        for turn in range(rounds + 1):
-            self.views = []
-            for v, x in enumerate(views):
-                rows = np.array(list(given[v]))
-                weight = np.where(y[rows] >= 0, 1.0, 0.5)
-                self.views.append(Logistic().fit(x[rows], label[v][rows], weight))
-            if turn == rounds or not len(free):
+    def fit(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, **how) -> CoTrained:
+        """``y`` is 1, 0, or -1 where unlabelled."""
+        free = [text[y < 0], meta[y < 0]]
+        return self.teach(text[y >= 0], meta[y >= 0], y[y >= 0], lambda summed, *args: summed(free, *args), **how)
+
+    def teach(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, over_free, rounds: int = 4, sure: float = 0.95, share: float = 0.1, steps: int = 4) -> CoTrained:
+        """Labelled rows, and ``over_free``: the sum of a function of (views, ...) over all unlabelled rows.
+
+        Every fifth labelled row calibrates and teaches nothing. A round takes, by view and label, the surest ``share``
+        of the unlabelled rows (to a hundredth of log odds) as far as they are ``sure``.
+        """
+        held = np.arange(len(y))[::5]
+        own = np.setdiff1d(np.arange(len(y)), held)
+        views, odds = [text, meta], np.log(sure / (1 - sure))
+        self.views, self.taught, rules = [Logistic().fit(x[own], y[own].astype(float)) for x in views], 0, []
+
+        def calibrated(v):
+            return Logistic().fit(self.views[v].logit(views[v][held])[:, None], y[held].astype(float), ridge=1e-2)
+
+        for _ in range(rounds):
+            models = [(m.copy(), calibrated(v)) for v, m in enumerate(self.views)]
+            found = over_free(_histogram, models)
+            if not found[-1]:
                 break
+            most, turn = max(1, int(share * found[-1])), []
+            for v, model in enumerate(models):
+                n = found[v * _BINS : (v + 1) * _BINS]
+
+                def reach(counts):
+                    """How many bins of ``counts`` to take: the first that holds rows, and more while there are few enough."""
+                    return max(int(np.searchsorted(np.cumsum(counts), most, side="right")), int(np.argmax(counts > 0)) + 1)
+
+                edge = int(np.ceil((odds + 30) * (_BINS / 60)))
+                turn.append((model, min(reach(n) - 1, _BINS - 1 - edge), max(_BINS - reach(n[::-1]), edge)))
+            rules.append(turn)
             before = self.taught
-            for v, x in enumerate(views):
-                # how often this view is right when it is sure, as the held rows show
-                z = self._calibrated(Logistic().fit(self.views[v].logit(x[held])[:, None], y[held].astype(float), ridge=1e-2), self.views[v].logit(x[free]))
-                p = _sigmoid(z)
-                other = 1 - v
-                for side in (1, 0):
-                    q = p if side else 1 - p
-                    pick = np.argsort(-q, kind="stable")[: max(1, int(share * len(free)))]
-                    for i in free[pick[q[pick] >= sure]]:
-                        if int(i) not in given[other]:
-                            given[other][int(i)] = None
-                            label[other][i] = side
-                            self.taught += 1
+            for _ in range(steps):
+                sums, at, moved = over_free(_steps, rules, self.views), 0, 0.0
+                taught = 0
+                for m, x in zip(self.views, views):
+                    d = len(m.b)
+                    taught += int(sums[at])
+                    gradient, hessian = m.sums(x[own].astype(float), y[own], 1.0)
+                    moved = max(moved, m.step(gradient + sums[at + 1 : at + 1 + d], hessian + sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+                    at += 1 + d + d * d
+                self.taught = taught
+                if taught == before or moved < 1e-6:
+                    break
             if self.taught == before:
                 break
-        self.calibrations = [Logistic().fit(m.logit(x[held])[:, None], y[held].astype(float), ridge=1e-2) for m, x in zip(self.views, views)]
+        self.calibrations = [calibrated(v) for v in range(2)]
         z = self._both(text[held], meta[held])
         self.joint = Logistic().fit(z, y[held].astype(float), ridge=1e-1)
         return self
@@ -143,52 +218,71 @@ def _views(pdf: pd.DataFrame, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def _sampled(batches):
+def _featured(batches):
     lex = Lexicon()
     for pdf in batches:
         if len(pdf):
             text, meta = _views(pdf, lex)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "text": list(text), "meta": list(meta)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": list(text), "meta": list(meta)})
+
+
+def _arrays(batch) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("text", "meta")]
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 8_000, pool: int = 6_000, label: str = "quality") -> CoTrained | None:
-    """Fitted on at most ``bound`` labelled and ``pool`` unlabelled rows, those of the smallest hashes; None without both labels.
+def _over(free: DataFrame):
+    """Sums of a function's vectors over the rows of ``free``; the driver gets one vector of fixed length."""
 
-    The ids of the sample are broadcast and its features collected; the two bounds limit both.
+    def total(summed, *args) -> np.ndarray:
+        def run(batches):
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    v = summed(_arrays(batch), *args)
+                    out = v if out is None else out + v
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["i", "v"])
+
+        rows = free.select("text", "meta").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
+        return rows["v"].to_numpy() if len(rows) else np.zeros(2 * _BINS + 1)
+
+    return total
+
+
+def train(rows: DataFrame, bound: int = 8_000) -> CoTrained | None:
+    """Fitted on at most ``bound`` labelled rows, those of the smallest hashes, and on all unlabelled ones; None without both labels.
+
+    ``rows``: doc_id, both views and y (1, 0, -1 where unlabelled, null where there is no id). The sample is collected.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label) > 0, 1).otherwise(0).alias("y")).dropDuplicates(["doc_id"])
-    free = docs.filter("doc_id is not null").select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y"))
-    ids = sample_by_hash(known, "doc_id", bound, salt=5).unionByName(sample_by_hash(free, "doc_id", pool, salt=5))
-    seen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "y")
-    rows = seen.mapInPandas(_sampled, "doc_id long, y int, text array<float>, meta array<float>").toPandas()
-    y = rows["y"].to_numpy(int) if len(rows) else np.empty(0, int)
+    ids = sample_by_hash(rows.filter("y >= 0").select("doc_id").distinct(), "doc_id", bound, salt=5)
+    known = rows.filter("y >= 0").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    y = known["y"].to_numpy(int) if len(known) else np.empty(0, int)
     if (y == 1).sum() < 10 or (y == 0).sum() < 10:
         return None
-    rows = rows.drop_duplicates("doc_id").assign(o=[zlib.crc32(str(i).encode()) for i in rows.drop_duplicates("doc_id")["doc_id"]]).sort_values(["o", "doc_id"])
-    return CoTrained().fit(np.stack(rows["text"]), np.stack(rows["meta"]), rows["y"].to_numpy(int))
+    known = known.assign(o=[zlib.crc32(str(i).encode()) for i in known["doc_id"]]).sort_values(["o", "doc_id"])
+    return CoTrained().teach(np.stack(known["text"]), np.stack(known["meta"]), known["y"].to_numpy(int), _over(rows.filter("y < 0")))
 
 
 def _scored(model: CoTrained | None):
     def run(batches):
-        lex = Lexicon()
-        for pdf in batches:
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")})
-            if model is None or not len(pdf):
-                t = m = s = np.ones(len(pdf))
-            else:
-                t, m, s = model.scores(*_views(pdf, lex))
-            out["text_score"], out["meta_score"], out["score"] = t, m, s
-            yield out
+        for batch in batches:
+            t = m = s = np.ones(batch.num_rows)
+            if model is not None and batch.num_rows:
+                t, m, s = model.scores(*_arrays(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(t), pa.array(m), pa.array(s)], names=["doc_id", "text_score", "meta_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) of every row of ``docs``; kept: score of at least a half.
 
     Null and empty texts and null metadata are values like others. Without labels of both kinds (ten of
     each) all are kept with score 1. Repeated rows are scored alike.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
-    out = slim.mapInPandas(_scored(train(slim, labels, **how)), "doc_id long, text_score double, meta_score double, score double")
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label) > 0, 1).otherwise(0).alias("y")).dropDuplicates(["doc_id"])
+    views = slim.mapInPandas(_featured, "doc_id long, text array<float>, meta array<float>").join(known, "doc_id", "left")
+    rows = stored(views.select("doc_id", "text", "meta", F.when(F.col("doc_id").isNotNull(), F.coalesce("y", F.lit(-1))).alias("y")))
+    out = rows.select("doc_id", "text", "meta").mapInArrow(_scored(train(rows, **how)), "doc_id long, text_score double, meta_score double, score double")
     return out.withColumn("kept", F.col("score") >= 0.5)

@@ -395,6 +395,19 @@ def test_views_teach_each_other():
     assert model.taught > 50 and ((model.scores(x, z)[2] >= 0.5) == y).mean() > 0.97
 
 
+def test_every_unlabelled_row_can_be_picked(spark):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 9000)
+    x = (rng.normal(size=(9000, 4)) + 3 * y[:, None]).astype(np.float32)
+    z = (rng.normal(size=(9000, 3)) + 2 * y[:, None]).astype(np.float32)
+    known = np.where(np.arange(9000) < 500, y, -1)
+    rows = [(i, a.tolist(), b.tolist(), int(k)) for i, (a, b, k) in enumerate(zip(x, z, known))]
+    model = cotraining.train(spark.createDataFrame(rows, "doc_id long, text array<float>, meta array<float>, y int"))
+    pool = cotraining.CoTrained().fit(x[:6500], z[:6500], known[:6500])
+    assert model.taught > 1.3 * pool.taught
+    assert ((model.scores(x, z)[2] >= 0.5) == y).mean() > 0.97
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     texts = [prose(rng, 60, 300) + (" you " + rng.choice(["idiot", "scum", "clown"]) + " " + prose(rng, 20, 300) if i % 5 == 0 else "") for i in range(600)] + [None, ""]
