@@ -40,8 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of every row."""
-    return pieces.encode(docs, check=False)
+    """doc_id, ids, n_tokens, n_byte_tokens and round_trip (decoding gives the text back) of every row."""
+    return pieces.encode(docs)
 
 
 STAGES = [("quality rules", good_documents), ("line dedup", first_lines), ("near-duplicates", one_of_each), ("mixing", mixed), ("token ids", token_ids)]

@@ -505,3 +505,11 @@ def test_pipeline_stages(spark):
         assert i == len(p.STAGES) - 1 or docs.columns == columns
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] > 0 and seen[5] == seen[4] > 0
     assert p.run(spark, d).count() == seen[5]
+
+
+@needs_vocabulary
+def test_pipeline_decodes_what_it_encodes(spark):
+    import corpus_pipeline as p
+
+    out = dict(p.STAGES)["token ids"](spark, docs_of(spark, ["some  text", "Straße 漢", None]), "").collect()
+    assert len(out) == 3 and all(r["round_trip"] for r in out)
