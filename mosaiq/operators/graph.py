@@ -2,48 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mosaiq-"))
-    return df.checkpoint(eager=True)
-
-
-def groups(pairs: DataFrame, most_rounds: int = 48) -> DataFrame:
-    """(id, first): the smallest id that each id of ``pairs`` (a, b) reaches; ids without a pair don't appear.
-
-    Each round hooks the larger root of a pair to the smaller and then shortens the paths to roots, so the
-    rounds are logarithmic in the length of chains. Pairs inside a group leave the work as soon as it is known.
+from mosaiq.storage import discard, stored
+
+
+def _union(batches):
+    """(id, first) of all ids in the pairs (a, b) of one task, by union-find with the smaller id as root."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ids, at = np.unique(np.concatenate([x for x, _ in parts] + [y for _, y in parts]), return_inverse=True)
+    half = len(at) // 2
+    root = list(range(len(ids)))
+    for x, y in zip(at[:half].tolist(), at[half:].tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x < y:
+            root[y] = x
+        else:
+            root[x] = y
+    for i, r in enumerate(root):  # a root is smaller than its children, so it is final by now
+        root[i] = root[r]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "first"])
+
+
+def groups(pairs: DataFrame, fits: int = 500_000) -> DataFrame:
+    """(id, first): the smallest id (long) that each id of ``pairs`` (a, b) reaches; ids without a pair don't appear.
+
+    While more than ``fits`` pairs are open, each round contracts them: by a coin of the round every id is a head or a
+    tail, and a tail joins its smallest neighbour among the heads. So paths never have to be followed, and at least a
+    quarter of the ids is expected to go in a round, in whatever order a chain is numbered. The pairs left then fit in
+    one task, which ends the work by union-find; the rounds are unwound from there. Minima combine before they are
+    shuffled, so a hub costs no more than its pairs. Pairs with a null or with two equal ids count for nothing.
     """
-    open_pairs = checkpointed(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    parent = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("first"))
-    for _ in range(most_rounds):
-        hook = open_pairs.groupBy(F.col("a").alias("first")).agg(F.min("b").alias("_to"))
-        parent = checkpointed(parent.join(hook, "first", "left").select("id", F.coalesce("_to", "first").alias("first")))
-        for _ in range(2):
-            up = parent.select(F.col("id").alias("first"), F.col("first").alias("_up"))
-            parent = parent.join(up, "first", "left").select("id", F.coalesce("_up", "first").alias("first"))
-        parent = checkpointed(parent)
-        x, y = parent.select(F.col("id").alias("a"), F.col("first").alias("x")), parent.select(F.col("id").alias("b"), F.col("first").alias("y"))
-        left = open_pairs.join(x, "a").join(y, "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        open_pairs = checkpointed(left)
-        if open_pairs.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
-    while True:  # paths to roots are short by now
-        up = parent.select(F.col("id").alias("first"), F.col("first").alias("_up"))
-        nearer = checkpointed(parent.join(up, "first").select("id", F.col("_up").alias("new"), "first"))
-        if nearer.filter("new <> first").isEmpty():
-            return nearer.select("id", "first")
-        parent = nearer.select("id", F.col("new").alias("first"))
+    ends = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    live = stored(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    joined: list[DataFrame] = []
+    while live.count() > fits:
+        heads = F.xxhash64("v", F.lit(len(joined))) % 2 == 0
+        both = live.selectExpr("a u", "b v").union(live.selectExpr("b u", "a v"))
+        tails = both.filter(heads).groupBy("u").agg(F.min("v").alias("to")).filter(F.xxhash64("u", F.lit(len(joined))) % 2 != 0)
+        step = stored(tails)
+        joined.append(step)
+        moved = live.join(step.selectExpr("u a", "to ta"), "a", "left").join(step.selectExpr("u b", "to tb"), "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+        rest = stored(moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        discard(live)
+        live = rest
+    found = live.coalesce(1).mapInArrow(_union, "id long, first long")
+    if not joined:
+        return stored(found)
+    found = stored(found)
+    for step in reversed(joined):
+        down = step.join(found.withColumnRenamed("id", "to"), "to", "left").select(F.col("u").alias("id"), "to", F.coalesce("first", "to").alias("first"))
+        tops = down.select(F.col("to").alias("id"), "first").distinct().join(found, "id", "left_anti")
+        found = stored(found.union(down.select("id", "first")).union(tops))
+    least = found.groupBy("first").agg(F.min("id").alias("least"))
+    return stored(found.join(least, "first").select("id", F.col("least").alias("first")))
 
 
 def radius_dedup(points: DataFrame, tolerance: float, priority: str | None = None) -> DataFrame:

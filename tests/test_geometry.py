@@ -121,6 +121,17 @@ def test_radius_dedup_against_brute_force(spark):
     assert graph.radius_dedup(df.limit(0), 1.5).count() == 0
 
 
+@pytest.mark.parametrize("fits", [500_000, 300])
+def test_groups_of_shuffled_and_adverse_chains(spark, fits):
+    rng = np.random.default_rng(4)
+    shuffled = rng.permutation(5000) + 1
+    zigzag = [20_001] + [x for pair in zip(range(23_000, 22_000, -1), range(20_002, 21_002)) for x in pair]
+    edges = [(int(a), int(b)) for a, b in zip(shuffled, shuffled[1:])] + list(zip(zigzag, zigzag[1:])) + [(40_000, i) for i in range(40_001, 40_400)] + [(50_000, 50_000)]
+    found = {r["id"]: r["first"] for r in graph.groups(spark.createDataFrame(edges + [(None, 3)], "a long, b long"), fits=fits).collect()}
+    assert len(found) == 5000 + len(zigzag) + 400
+    assert all(f == (1 if i <= 5000 else 20_001 if i < 40_000 else 40_000) for i, f in found.items())
+
+
 def test_groups_of_a_long_chain_and_a_star(spark):
     pairs = spark.range(1, 60).selectExpr("id as a", "id + 1 as b").union(spark.range(101, 140).selectExpr("id as a", "100L as b"))
     got = {r["id"]: r["first"] for r in graph.groups(pairs).collect()}
