@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.graph import groups
+from mosaiq.storage import discard, new_path, shared_dir, stored
+
+__all__ = ["discard", "new_path", "shared_dir", "stored"]
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,42 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; own only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="mosaiq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/mosaiq/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files that ``stored`` wrote for ``df``; nothing may read it afterwards."""
-    spark = df.sparkSession
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def reclaim(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished stages now instead of at some later garbage collection of the driver."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for the small frames of iterations; Spark cleans it up."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bytes_of(text) -> bytes:
     """UTF-8 of a text; null and whatever is no string count as empty, lone surrogates are replaced."""
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""
@@ -107,23 +80,6 @@ def bucket_of(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
-    """(node, comp): the smallest node that each node of an undirected edge list can reach.
-
-    Minimum labels travel along edges and are then jumped through (label of the label), so stars need
-    one round and chains a number logarithmic in their length. Every round is a join with partial
-    minima; a hub's edges are spread by the adaptive skew join. Nothing is collected but a count.
-    """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("comp")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        labels_new = cut(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "far").alias("comp")))
-        moved = labels_new.filter("old <> comp").limit(1).count()
-        labels = labels_new.select("node", "comp")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", **how) -> DataFrame:
+    """(node, comp): the smallest node that each node of an undirected edge list can reach."""
+    return groups(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), **how).select(F.col("id").alias("node"), F.col("first").alias("comp"))

@@ -1,18 +1,20 @@
-"""Fuzzy line de-duplication: SimHash, pigeonhole blocks, runs of words, edit similarity, components.
+"""Fuzzy line de-duplication: pigeonhole blocks of words, sketches, edit similarity, components.
 
 Lines are normalised and hashed exactly first, so that repeats of one line, however many, fold into one
-representative by partial aggregation. Representatives get a 64-bit SimHash of their words; two
-that differ in at most 3 of its bits agree in at least two of five blocks, so ten tables keyed by a
-pair of blocks find them. Lines of an edit similarity of 0.8 differ in some 13 bits, though: they are found by
-the runs of words that they must share (see ``run_keys``). Candidates are verified by word edit similarity on
-the lines themselves, and all but the first occurrence of each connected group of lines go.
+representative by partial aggregation. Two representatives of an edit similarity of 0.8 differ in so few words that
+a run of words is the same in both (the pigeonhole principle): runs are the blocks that they are joined on
+(see ``run_keys``). In each block all lines meet its smallest first; what verification leaves apart is then compared
+across components. Parities of word classes bound the edits of a pair exactly before lines are fetched. Candidates
+are verified by word edit similarity on the lines themselves, and all but the first occurrence of each connected
+group of lines go.
+
+Blocks of SimHash bits, the usual choice, don't serve here: lines at 0.8 differ in some 13 of 64 bits (see README).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.common import bytes_of, connected_components, discard, mix64, reclaim, stored
 
-_CUTS = (0, 13, 26, 39, 52, 64)
-_TABLES = tuple(combinations(range(5), 2))
 _MARKS = b".,;:!?\"'()[]{}<>|*#$%&-_"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -33,33 +33,6 @@ def normal_words(line: bytes) -> list[bytes]:
     return line.translate(_FOLD, _MARKS).split()
 
 
-@lru_cache(1)
-def _bits() -> np.ndarray:
-    """Entry v: the eight bits of byte v, each in a byte of a 64-bit word, so that one addition counts all eight."""
-    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
-
-
-def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes (runs begin at ``starts``): bit by bit the majority of its words.
-
-    Bits are counted with one addition a byte and word. Counts in bytes hold for 255 words: longer runs
-    are counted in pieces, whose counts are then added in 32 bits.
-    """
-    lengths = np.diff(np.append(starts, len(hashes)))
-    out = np.zeros(len(starts), np.uint64)
-    parts = hashes.view(np.uint8).reshape(-1, 8)
-    pieces = -(-lengths // 255)
-    first = np.cumsum(pieces) - pieces
-    begins = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
-    for byte in range(8):
-        total = np.add.reduceat(_bits()[parts[:, byte]], begins).view(np.uint8).reshape(-1, 8)
-        if len(begins) > len(starts):
-            total = np.add.reduceat(total, first, axis=0, dtype=np.int32)
-        major = (2 * total.astype(np.int32) > lengths[:, None]).astype(np.uint8)
-        out |= np.packbits(major, axis=1)[:, 0].astype(np.uint64) << np.uint64(8 * byte)
-    return out
-
-
 #: Runs of words kept a line, and bits of their keys.
 RUNS, _KEY_BITS = 16, 40
 
@@ -102,19 +75,24 @@ def run_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return (x & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64), ends
 
 
+#: Classes of words whose parities are kept, 64 a long.
+_PARITIES = 4
+
+
 def parities(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit words a line: of each of 128 classes of words, whether the line has an odd number. An edit flips two bits at most."""
+    """_PARITIES longs a line: of each class of words, whether the line has an odd number. An edit flips two bits at most."""
     bits = np.uint64(1) << (hashes & np.uint64(63))
-    second = (hashes & np.uint64(64)) > 0
-    return [np.bitwise_xor.reduceat(np.where(second == half, bits, np.uint64(0)), starts).view(np.int64) for half in (False, True)]
+    part = (hashes >> np.uint64(6)) & np.uint64(_PARITIES - 1)
+    return [np.bitwise_xor.reduceat(np.where(part == q, bits, np.uint64(0)), starts).view(np.int64) for q in range(_PARITIES)]
 
 
 def _lines(text) -> list[bytes]:
     return bytes_of(text).split(b"\n")
 
 
-_LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, sim long, words int, p1 long, p2 long, runs array<long>"
-_SLICE = 1 << 17
+_SKETCH = tuple(f"p{i}" for i in range(_PARITIES))
+_LINE_SCHEMA = f"doc_id long, line int, h1 long, h2 long, words int, {', '.join(f'{p} long' for p in _SKETCH)}, runs array<long>"
+_SLICE, _SEEN = 1 << 17, 1 << 19
 _BYTE = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
 _SPAN = 1 << 16
 
@@ -140,37 +118,58 @@ def word_hashes(line_words: bytes) -> np.ndarray:
 
 
 def _hash_lines(batches):
-    """(doc_id, line, 128-bit hash of the normal words, SimHash, number of words, keys) of every line with a normal word."""
-    from xxhash import xxh3_128_digest
+    """(doc_id, line, 128-bit hash of the normal words) of every line with a normal word.
 
-    for batch in batches:
-        keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
+    The number of words, parities and block keys come with the first of equal lines only, as far as the task
+    remembers lines (a bounded number): the others have nulls, which no minimum and no explosion sees.
+    """
+    from xxhash import xxh3_128_digest
 
-        def flush():
-            starts = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            hashes = word_hashes(b" ".join(lines))
+    seen: set[bytes] = set()
+
+    def flush(keys, nos, digests, where, lines):
+        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        n = len(keys)
+        at = np.array(where, np.int64)
+        new = np.zeros(n, bool)
+        new[at] = True
+        full = np.zeros((1 + _PARITIES, n), np.int64)
+        sizes, found = np.zeros(n, np.int64), np.empty(0, np.int64)
+        if lines:
+            joined = b" ".join(lines)
+            counts = np.array([x.count(b" ") + 1 for x in lines])
+            starts = np.cumsum(counts) - counts
+            hashes = word_hashes(joined)
             found, ends = run_keys(hashes, starts)
-            listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found, pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array(nos, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(simhashes(hashes, starts).view(np.int64)), pa.array(runs, pa.int32()), *map(pa.array, parities(hashes, starts)), listed]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "h1", "h2", "sim", "words", "p1", "p2", "runs"])
+            sizes[at] = np.diff(np.append(0, ends))
+            full[:, at] = [counts, *parities(hashes, starts)]
+        listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(found, pa.int64()))
+        columns = [pa.array(keys, pa.int64()), pa.array(nos, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(full[0].astype(np.int32), mask=~new), *(pa.array(x, mask=~new) for x in full[1:]), listed]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "h1", "h2", "words", *_SKETCH, "runs"])
 
+    for batch in batches:
+        held, size = ([], [], [], [], []), 0
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
                 w = line.split()
                 if w:
                     line = b" ".join(w)
-                    keys.append(key)
-                    nos.append(no)
-                    digests.append(xxh3_128_digest(line))
-                    runs.append(len(w))
-                    lines.append(line)
-                    held += len(w)
-                    if held >= _SLICE:
-                        yield flush()
-                        keys, nos, digests, runs, lines, held = [], [], [], [], [], 0
-        if keys:
-            yield flush()
+                    digest = xxh3_128_digest(line)
+                    if digest not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen.add(digest)
+                        held[3].append(len(held[0]))
+                        held[4].append(line)
+                        size += len(w)
+                    held[0].append(key)
+                    held[1].append(no)
+                    held[2].append(digest)
+                    if size >= _SLICE or len(held[0]) >= _SLICE:
+                        yield flush(*held)
+                        held, size = ([], [], [], [], []), 0
+        if held[0]:
+            yield flush(*held)
 
 
 def edit_distance(x: list, y: list, most: int) -> int:
@@ -250,102 +249,104 @@ def _confirm(least: float):
 
 def _wanted_lines(batches):
     for pdf in batches:
-        keys, reps, found = [], [], []
+        keys, found = [], []
         for text, nos, ids in zip(pdf["text"], pdf["lines"], pdf["reps"]):
             lines = _lines(text)
             for no, rep in zip(nos, ids):
-                reps.append(rep)
-                found.append(lines[no])
-        yield pd.DataFrame({"rep": reps, "content": found})
+                if no < len(lines):  # of rows that share a doc_id one has the line
+                    keys.append(rep)
+                    found.append(lines[no])
+        yield pd.DataFrame({"rep": keys, "content": found})
 
 
-def repeats(docs: DataFrame, distance: int = 3, similarity: float = 0.8, min_words: int = 1) -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, line, comp) of every line of ``docs`` (doc_id, text) that isn't the first of its group.
 
-    Lines end at \\n and count from 0. Two lines belong together if their normal words are equal, or if
-    they are candidates and their word edit similarity, 1 - edits / words of the longer, is at least
-    ``similarity``. Candidates have SimHashes that differ in at most ``distance`` (3) bits, or share a key of
-    ``run_keys``; for a ``similarity`` below 0.8 that misses more. The first occurrence is the one of the smallest
-    (doc_id, line); comp names it by its representative. Lines without a normal word, or shorter
-    than ``min_words``, never count as repeats. Rows without doc_id take no part. Rows that share a
-    doc_id count as one document: of lines equal in doc_id and number, all go or stay together.
+    Lines end at \\n and count from 0. Two lines are linked if their normal words are equal, or if they share a key of
+    ``run_keys`` and their word edit similarity, 1 - edits / words of the longer, is at least ``similarity`` (0.8 or
+    more: below, the keys miss pairs). A group is what links connect; its first occurrence is the one of the smallest
+    (doc_id, line), and comp names it. Lines without a normal word never count as repeats; null and empty texts
+    have none. Rows without doc_id take no part. Rows that share a doc_id should hold one text; of lines equal in
+    doc_id, number and words all go or stay together. An empty table has no repeats.
     """
-    if distance > 3:
-        raise ValueError("the tables of block pairs hold for at most 3 differing bits")
+    if similarity < 0.8:
+        raise ValueError("the block keys hold for a similarity of at least 0.8")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    hashed = stored(docs.mapInArrow(_hash_lines, _LINE_SCHEMA))
-    at = F.struct("doc_id", "line")
-    folded = hashed.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("sim").alias("sim"), F.min("words").alias("words"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.first("runs").alias("runs"), F.count("*").alias("n"))
-    reps = stored(folded.select("h1", "h2", "at", "sim", "words", "p1", "p2", "runs", "n", F.xxhash64("h1", "h2").alias("rep")))
-    lines = stored(hashed.select("doc_id", "line", "h1", "h2"))
-    discard(hashed)
-    reclaim(docs.sparkSession)
-
-    keys = []
-    for t, (i, j) in enumerate(_TABLES):
-        part = [F.shiftrightunsigned("sim", _CUTS[k]).bitwiseAND(F.lit((1 << (_CUTS[k + 1] - _CUTS[k])) - 1)) for k in (i, j)]
-        keys.append(F.shiftleft(part[0], 17).bitwiseOR(F.shiftleft(part[1], 4)).bitwiseOR(F.lit(t)))
-    by_runs = F.transform("runs", lambda k: k.bitwiseOR(F.lit(1 << _KEY_BITS)))
-    tables = reps.select("rep", F.explode(F.concat(F.array(*keys), by_runs)).alias("bucket"))
-    crowded = stored(tables.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).filter("size > 1"))
-    reclaim(docs.sparkSession)
-    members = stored(tables.join(crowded, "bucket").join(reps.select("rep", F.struct("sim", "words", "p1", "p2").alias("sign")).hint("merge"), "rep"))
+    lines = stored(docs.mapInArrow(_hash_lines, _LINE_SCHEMA))
+    least = [F.min(c).alias(c) for c in ("words", *_SKETCH)]
+    reps = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"), *least))
+
+    # Blocks that hold two different lines at least, and their members, each once.
+    blocks = lines.select("h1", F.explode("runs").alias("block"))
+    crowded = stored(blocks.groupBy("block").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).filter("lead < last").select("block", "lead"))
+    reclaim(spark)
+    members = stored(blocks.join(crowded, "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
-    reclaim(docs.sparkSession)
+    reclaim(spark)
+    sketches = reps.groupBy(F.col("h1").alias("rep")).agg(*least)
+
+    def near(x: str, y: str):
+        """Whether numbers of words and parities leave the edit similarity possible: an exact bound."""
+        most = F.floor((1 - similarity) * F.greatest(f"{x}.words", f"{y}.words") + 1e-9)
+        flips = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _SKETCH[1:]), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+        return (F.abs(F.col(f"{x}.words") - F.col(f"{y}.words")) <= most) & (flips <= 2 * most)
+
+    def sketch_of(name: str, alias: str) -> DataFrame:
+        return sketches.select(F.col("rep").alias(name), F.struct("words", *_SKETCH).alias(alias))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of stored pairs, those that reach the edit similarity; their lines are fetched from the texts."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        spots = reps.join(ids, "rep", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "rep")).alias("s"))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        spots = reps.join(ids, "h1", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("h1").alias("rep"))).alias("s"))
         content = docs.join(spots, "doc_id").select("text", F.col("s.line").alias("lines"), F.col("s.rep").alias("reps")).mapInPandas(_wanted_lines, "rep long, content binary")
-        content = stored(content.dropDuplicates(["rep"]))
-        both = pairs.join(content.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(content.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
+        content = stored(content)
+        one = content.groupBy("rep").agg(F.min("content").alias("content"))
+        both = pairs.join(one.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(one.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
         out = stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(similarity), "a long, b long"))
         discard(content)
         discard(pairs)
-        reclaim(docs.sparkSession)
+        reclaim(spark)
         return out
 
-    def near(bucket, x, y):
-        """Few bits differ, if blocks of bits made the bucket, and lengths and parities leave the edit similarity possible."""
-        bits = (bucket >= (1 << _KEY_BITS)) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= distance)
-        most = (1 - similarity) * F.greatest(x["words"], y["words"]) + 1e-9
-        flips = F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"]))
-        return bits & (F.abs(x["words"] - y["words"]) <= most) & (flips <= 2 * F.floor(most))
-
-    leads = members.filter(F.col("rep") == F.col("lead")).select("bucket", F.col("sign").alias("lead_sign"))
-    stars = members.filter(F.col("rep") != F.col("lead")).join(leads, "bucket").filter(near(F.col("bucket"), F.col("sign"), F.col("lead_sign"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(sketch_of("a", "x"), "a").join(sketch_of("b", "y"), "b").filter(near("x", "y")).select("a", "b")
     links = confirmed(stored(stars))
-    first = connected_components(links)
-    # Buckets that hold several components yet: pairs across components within the distance.
-    left = members.filter("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "sign", F.coalesce("comp", "rep").alias("comp"))
-    apart = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    left = stored(left.join(apart, "bucket"))
-    x = left.select("bucket", F.col("rep").alias("a"), F.col("sign").alias("sa"), F.col("comp").alias("ca"))
-    y = left.select("bucket", F.col("rep").alias("b"), F.col("sign").alias("sb"), F.col("comp").alias("cb"))
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(x["bucket"], F.col("sa"), F.col("sb"))).select("a", "b").distinct()
-    more = confirmed(stored(across.join(members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti")))
-    comps = connected_components(links.union(more)) if more.limit(1).count() else first
-
-    grouped = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "at", "n", F.coalesce("comp", "rep").alias("comp"))
+    comps = connected_components(links)
+    # Blocks that hold several components yet: pairs across components, but for those that have met.
+    placed = members.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("block", "rep", "lead", F.coalesce("comp", "rep").alias("comp"))
+    apart = placed.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("block")
+    left = stored(placed.filter("rep <> lead").join(apart, "block").join(sketch_of("rep", "sketch"), "rep"))
+    x = left.select("block", F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("comp").alias("ca"))
+    y = left.select("block", F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("comp").alias("cb"))
+    across = stored(x.join(y, "block").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y")).select("a", "b").distinct())
+    if across.limit(1).count():
+        comps = connected_components(links.union(confirmed(across)))
+
+    grouped = reps.join(comps.select(F.col("node").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "at", "n", F.coalesce("comp", "h1").alias("comp"))
     heads = grouped.groupBy("comp").agg(F.min("at").alias("head"), F.sum("n").alias("total")).filter("total > 1").select("comp", "head")
     owned = stored(grouped.join(heads, "comp").select("h1", "h2", "comp", "head"))
-    for done in (members, left, links, more, reps):
+    for done in (members, left, links, reps):
         discard(done)
-    reclaim(docs.sparkSession)
-    gone = lines.join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
+    reclaim(spark)
+    gone = lines.select("doc_id", "line", "h1", "h2").join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
     return gone.select("doc_id", "line", "comp")
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with column text less its repeated lines, and _mq_lines, _mq_removed: lines before, and removed."""
-    gone = repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_mq_id"], "left")
-    slim = joined.select(F.struct(*[joined[c] for c in docs.columns if c != "text"]).alias("_mq_row"), joined["text"], F.col("gone"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    drop = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    out = slim.withColumn("_mq_removed", F.size(drop).cast("long")).withColumn("_mq_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("_mq_text", kept)
+    """``docs`` with column text less its repeated lines, and _mq_lines, _mq_removed: lines before, and removed.
+
+    Columns of any other names stay as they are. Null texts stay null, rows without doc_id are left alone.
+    """
+    gone = repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("_mq_gone"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("_mq_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_mq_row"), F.col("text").alias("_mq_text"))
+    slim = packed.join(gone, "_mq_id", "left")
+    lines = F.split(F.coalesce("_mq_text", F.lit("")), "\n", -1)
+    drop = F.filter(F.coalesce("_mq_gone", F.array().cast("array<int>")), lambda i: i < F.size(lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    slim = slim.withColumn("_mq_all", lines).withColumn("_mq_stay", stay)
+    kept = F.when(F.col("_mq_gone").isNull(), F.col("_mq_text")).otherwise(F.array_join(F.transform("_mq_stay", lambda i: F.get("_mq_all", i)), "\n"))
+    out = slim.withColumn("_mq_lines", F.when(F.col("_mq_text").isNull(), 0).otherwise(F.size("_mq_all")).cast("long")).withColumn("_mq_removed", F.when(F.col("_mq_gone").isNull(), 0).otherwise(F.size("_mq_all") - F.size("_mq_stay")).cast("long")).withColumn("_mq_text", kept)
     return out.select(*[(F.col("_mq_text") if c == "text" else F.col(f"_mq_row.`{c}`")).alias(c) for c in docs.columns], "_mq_lines", "_mq_removed")
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import SPACES, cut, stored
+from mosaiq.llm.common import SPACES, stored
 
 WEIGHTS = (3, 1, 2)
 _EPS = 1e-12
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), row_key().alias("row_key"))
     plain = stored(plain)
     sources = targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")))
-    sources = cut(sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("int")))
+    sources = stored(sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("int")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = plain.join(sources, plain["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("base", F.floor(rate + 1e-12)).withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
     open_ = rated.filter((F.col("size") > 0) & (F.col("p") > _EPS)).select("source_no", "doc_id", "row_key", "size", "p")
