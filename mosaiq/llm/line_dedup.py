@@ -37,9 +37,15 @@ def normal_words(line: bytes) -> list[bytes]:
 RUNS, _KEY_BITS = 16, 40
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _lowest(owner: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` smallest distinct keys of each owner, as owner << _KEY_BITS | key, in order."""
-    x = np.unique((owner.astype(np.uint64) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS)))
+    x = _distinct((owner.astype(np.uint64) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS)))
     who = x >> np.uint64(_KEY_BITS)
     first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(x) else np.empty(0, np.int64)
     return x[np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < most]
@@ -70,7 +76,7 @@ def run_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     for width, salt, chosen in ((2, 2, (left == whole) & (whole >= 4) & (whole <= 5)), (2, 5, (left == 2) & (whole >= 4) & (whole <= 5)), (3, 3, (left >= 3) & (whole >= 5) & (whole <= 15)), (4, 4, (left >= 4) & (whole >= 13))):
         at = np.flatnonzero(chosen)
         found.append(_lowest(owner[at], runs(at, width, salt), RUNS))
-    x = np.unique(np.concatenate(found))
+    x = _distinct(np.concatenate(found))
     ends = np.searchsorted(x >> np.uint64(_KEY_BITS), np.arange(len(starts)).astype(np.uint64), side="right")
     return (x & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64), ends
 
@@ -172,76 +178,67 @@ def _hash_lines(batches):
             yield flush(*held)
 
 
-def edit_distance(x: list, y: list, most: int) -> int:
-    """Word edit distance if it is at most ``most``, else ``most`` + 1: a band of 2 * most + 1 diagonals."""
-    while x and y and x[-1] == y[-1]:
-        x, y = x[:-1], y[:-1]
+def _trimmed(x: list, y: list) -> tuple[list, list]:
+    """Both lists less what they have in common at their ends."""
+    least = min(len(x), len(y))
     i = 0
-    while i < min(len(x), len(y)) and x[i] == y[i]:
+    while i < least and x[i] == y[i]:
         i += 1
-    x, y = x[i:], y[i:]
+    j = 0
+    while j < least - i and x[-1 - j] == y[-1 - j]:
+        j += 1
+    return x[i : len(x) - j], y[i : len(y) - j]
+
+
+def edit_distance(x: list, y: list, most: int) -> int:
+    """Word edit distance if it is at most ``most``, else ``most`` + 1.
+
+    Columns of the table of distances are kept as bit vectors of their vertical steps, in integers of any length.
+    """
+    x, y = _trimmed(x, y)
     if len(x) > len(y):
         x, y = y, x
     if len(y) - len(x) > most:
         return most + 1
     if not x:
         return len(y)
-    ids: dict = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in x])
-    b = np.array([ids.setdefault(w, len(ids)) for w in y])
-    # Furthest-reaching points by diagonal: e edits reach as far as possible on each diagonal k = j - i.
-    m, n = len(a), len(b)
-    reach = {0: _slide(a, b, 0, 0)}
-    if n - m == 0 and reach[0] >= m:
-        return 0
-    for e in range(1, most + 1):
-        new = {}
-        for k in range(-e, e + 1):
-            if abs(k - (n - m)) > most - e:
-                continue
-            best = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
-            if best < 0 or best > m or best + k > n:
-                best = min(best, m, n - k)
-                if best < 0 or best + k < 0:
-                    continue
-            if best + k < 0:
-                continue
-            new[k] = _slide(a, b, best, k)
-        reach = new
-        if reach.get(n - m, -1) >= m:
-            return e
-    return most + 1
-
-
-def _slide(a: np.ndarray, b: np.ndarray, i: int, k: int) -> int:
-    while True:
-        x, y = a[i : i + 64], b[i + k : i + k + 64]
-        span = min(len(x), len(y))
-        differ = np.flatnonzero(x[:span] != y[:span])
-        if len(differ):
-            return i + int(differ[0])
-        i += span
-        if span < 64:
-            return i
+    # An edit leaves all but one word of the longer in common, in whatever order.
+    bag = Counter(x)
+    if len(y) - sum(min(c, bag[w]) for w, c in Counter(y).items() if w in bag) > most:
+        return most + 1
+    places: dict = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | (1 << i)
+    full, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, score, left = full, 0, len(x), len(y)
+    for w in y:
+        same = places.get(w, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        right, back = (down | ~(diagonal | up)) & full, up & diagonal
+        if right & last:
+            score += 1
+        elif back & last:
+            score -= 1
+        left -= 1
+        if score - left > most:
+            return most + 1
+        right, vertical = ((right << 1) | 1) & full, same | down
+        up, down = ((back << 1) | ~(vertical | right)) & full, right & vertical
+    return min(score, most + 1)
 
 
 def _confirm(least: float):
     def run(batches):
         for pdf in batches:
             words: dict = {}
-            bags: dict = {}
             keep = np.zeros(len(pdf), bool)
             for n, (a, b, x, y) in enumerate(zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"])):
                 for k, v in ((a, x), (b, y)):
                     if k not in words:
                         words[k] = normal_words(bytes(v))
-                        bags[k] = Counter(words[k])
-                x, y, of_y = words[a], words[b], bags[b]
-                longest = max(len(x), len(y))
-                most = int((1 - least) * longest + 1e-9)
-                # An edit leaves all but one word of the longer line in common, in whatever order.
-                if longest - sum(min(c, of_y[w]) for w, c in bags[a].items() if w in of_y) <= most:
-                    keep[n] = edit_distance(x, y, most) <= most
+                x, y = words[a], words[b]
+                most = int((1 - least) * max(len(x), len(y)) + 1e-9)
+                keep[n] = edit_distance(x, y, most) <= most
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
@@ -279,7 +276,9 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     # Blocks that hold two different lines at least, and their members, each once.
     blocks = lines.select("h1", F.explode("runs").alias("block"))
-    crowded = stored(blocks.groupBy("block").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).filter("lead < last").select("block", "lead"))
+    # A block's lead is any of its lines, by a hash: the same lines meet other leads in each of the blocks they share.
+    lead = F.min_by("h1", F.xxhash64("h1", "block")).alias("lead")
+    crowded = stored(blocks.groupBy("block").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), lead).filter("lo < hi").select("block", "lead"))
     reclaim(spark)
     members = stored(blocks.join(crowded, "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
@@ -287,10 +286,13 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     sketches = reps.groupBy(F.col("h1").alias("rep")).agg(*least)
 
     def near(x: str, y: str):
-        """Whether numbers of words and parities leave the edit similarity possible: an exact bound."""
+        """Whether numbers of words and parities leave the edit similarity possible: an exact bound.
+
+        Of two bags the larger has words that the other lacks: half of what differs and half of what it is larger by.
+        """
         most = F.floor((1 - similarity) * F.greatest(f"{x}.words", f"{y}.words") + 1e-9)
-        flips = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _SKETCH[1:]), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
-        return (F.abs(F.col(f"{x}.words") - F.col(f"{y}.words")) <= most) & (flips <= 2 * most)
+        flips = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _SKETCH), F.abs(F.col(f"{x}.words") - F.col(f"{y}.words")))
+        return flips <= 2 * most
 
     def sketch_of(name: str, alias: str) -> DataFrame:
         return sketches.select(F.col("rep").alias(name), F.struct("words", *_SKETCH).alias(alias))
@@ -305,28 +307,31 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         both = pairs.join(one.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(one.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
         out = stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(similarity), "a long, b long"))
         discard(content)
-        discard(pairs)
         reclaim(spark)
         return out
 
-    stars = members.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sketch_of("a", "x"), "a").join(sketch_of("b", "y"), "b").filter(near("x", "y")).select("a", "b")
-    links = confirmed(stored(stars))
+    stars = members.filter("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    stars = stored(stars.join(sketch_of("a", "x"), "a").join(sketch_of("b", "y"), "b").filter(near("x", "y")).select("a", "b"))
+    links = confirmed(stars)
     comps = connected_components(links)
-    # Blocks that hold several components yet: pairs across components, but for those that have met.
+    # Blocks that hold several components yet: pairs across components, each in the least block that holds both.
     placed = members.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("block", "rep", "lead", F.coalesce("comp", "rep").alias("comp"))
     apart = placed.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("block")
-    left = stored(placed.filter("rep <> lead").join(apart, "block").join(sketch_of("rep", "sketch"), "rep"))
-    x = left.select("block", F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("comp").alias("ca"))
-    y = left.select("block", F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("comp").alias("cb"))
-    across = stored(x.join(y, "block").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y")).select("a", "b").distinct())
+    left = stored(placed.join(apart, "block").select("block", "rep", "comp"))
+    every = left.groupBy("rep").agg(F.collect_list("block").alias("every"))
+    left = left.join(every, "rep").join(sketch_of("rep", "sketch"), "rep")
+    x = left.select("block", F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("comp").alias("ca"), F.col("every").alias("ea"))
+    y = left.select("block", F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("comp").alias("cb"), F.col("every").alias("eb"))
+    once = F.array_min(F.array_intersect("ea", "eb")) == F.col("block")
+    across = x.join(y, "block").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("x", "y") & once).select("a", "b")
+    across = stored(across.join(stars, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         comps = connected_components(links.union(confirmed(across)))
 
     grouped = reps.join(comps.select(F.col("node").alias("h1"), "comp"), "h1", "left").select("h1", "h2", "at", "n", F.coalesce("comp", "h1").alias("comp"))
     heads = grouped.groupBy("comp").agg(F.min("at").alias("head"), F.sum("n").alias("total")).filter("total > 1").select("comp", "head")
     owned = stored(grouped.join(heads, "comp").select("h1", "h2", "comp", "head"))
-    for done in (members, left, links, reps):
+    for done in (members, stars, across, links, reps):
         discard(done)
     reclaim(spark)
     gone = lines.select("doc_id", "line", "h1", "h2").join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
