@@ -98,7 +98,7 @@ def _lines(text) -> list[bytes]:
 
 _SKETCH = tuple(f"p{i}" for i in range(_PARITIES))
 _LINE_SCHEMA = f"doc_id long, line int, h1 long, h2 long, words int, {', '.join(f'{p} long' for p in _SKETCH)}, runs array<long>"
-_SLICE, _SEEN = 1 << 17, 1 << 19
+_SLICE, _SEEN = 1 << 15, 1 << 16
 _BYTE = np.where(np.arange(256) == 32, 0, np.arange(256) + 1).astype(np.uint64)
 _SPAN = 1 << 16
 
@@ -155,8 +155,8 @@ def _hash_lines(batches):
 
     for batch in batches:
         held, size = ([], [], [], [], []), 0
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            for no, line in enumerate(bytes_of(text).translate(_FOLD, _MARKS).split(b"\n")):
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for no, line in enumerate(bytes_of(text.as_py()).translate(_FOLD, _MARKS).split(b"\n")):
                 w = line.split()
                 if w:
                     line = b" ".join(w)
