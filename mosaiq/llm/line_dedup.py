@@ -34,7 +34,7 @@ def normal_words(line: bytes) -> list[bytes]:
 
 
 #: Runs of words kept a line, and bits of their keys.
-RUNS, _KEY_BITS = 16, 40
+RUNS, _KEY_BITS = 12, 48
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def run_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     Of the n words of the longer line at least 0.8 n are left, in at most 0.2 n + 1 runs. So two lines share four words
     in a row if n > 15, three if n > 5; if n is 5, their first two or last two words. Up to 15 words all these runs
     are keys, which misses no pair. Longer lines keep the RUNS smallest hashes of their runs of four: at
-    0.8 and random edits a quarter of all runs are common, and several of them lie below both lines' bounds.
+    0.8 and random edits a quarter of all runs are common, and some of them lie below both lines' bounds.
     """
     lengths = np.diff(np.append(starts, len(hashes)))
     owner = np.repeat(np.arange(len(starts)), lengths)
@@ -276,9 +276,10 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     # Blocks that hold two different lines at least, and their members, each once.
     blocks = lines.select("h1", F.explode("runs").alias("block"))
-    # A block's lead is any of its lines, by a hash: the same lines meet other leads in each of the blocks they share.
-    lead = F.min_by("h1", F.xxhash64("h1", "block")).alias("lead")
-    crowded = stored(blocks.groupBy("block").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), lead).filter("lo < hi").select("block", "lead"))
+    # A block's lead is any of its lines, by an order of its own: the same lines meet other leads in each of the blocks they share.
+    order = F.xxhash64("block")
+    by_order = F.col("h1").bitwiseXOR(order)
+    crowded = stored(blocks.groupBy("block").agg(F.min(by_order).alias("lo"), F.max(by_order).alias("hi")).filter("lo < hi").select("block", F.col("lo").bitwiseXOR(order).alias("lead")))
     reclaim(spark)
     members = stored(blocks.join(crowded, "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
