@@ -86,9 +86,19 @@ _PARITIES = 4
 
 
 def parities(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """_PARITIES longs a line: of each class of words, whether the line has an odd number. An edit flips two bits at most."""
-    bits = np.uint64(1) << (hashes & np.uint64(63))
-    part = (hashes >> np.uint64(6)) & np.uint64(_PARITIES - 1)
+    """_PARITIES longs a line: of each class of words, whether the line has an odd number. An edit flips two bits at most.
+
+    The second, third, ... time that a word stands in a line it counts as words of their own, so that repeats show.
+    """
+    lengths = np.diff(np.append(starts, len(hashes)))
+    x = (np.repeat(np.arange(len(starts), dtype=np.uint64), lengths) << np.uint64(_KEY_BITS)) | (hashes >> np.uint64(64 - _KEY_BITS))
+    x.sort()
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    time = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    with np.errstate(over="ignore"):
+        seen = mix64((x << np.uint64(64 - _KEY_BITS)) + time.astype(np.uint64))
+    bits = np.uint64(1) << (seen & np.uint64(63))
+    part = (seen >> np.uint64(6)) & np.uint64(_PARITIES - 1)
     return [np.bitwise_xor.reduceat(np.where(part == q, bits, np.uint64(0)), starts).view(np.int64) for q in range(_PARITIES)]
 
 
@@ -283,6 +293,8 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     reclaim(spark)
     members = stored(blocks.join(crowded, "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
+    places = stored(lines.select("doc_id", "line", "h1", "h2"))
+    discard(lines)
     reclaim(spark)
     sketches = reps.groupBy(F.col("h1").alias("rep")).agg(*least)
 
@@ -335,7 +347,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     for done in (members, stars, across, links, reps):
         discard(done)
     reclaim(spark)
-    gone = lines.select("doc_id", "line", "h1", "h2").join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
+    gone = places.join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
     return gone.select("doc_id", "line", "comp")
 
 
@@ -344,15 +356,17 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
 
     Columns of any other names stay as they are. Null texts stay null, rows without doc_id are left alone.
     """
-    gone = repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("_mq_gone"))
+    gone = stored(repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("_mq_gone")))
+    reclaim(docs.sparkSession)
     packed = docs.select(F.col("doc_id").cast("long").alias("_mq_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_mq_row"), F.col("text").alias("_mq_text"))
     slim = packed.join(gone, "_mq_id", "left")
-    lines = F.split(F.coalesce("_mq_text", F.lit("")), "\n", -1)
-    drop = F.filter(F.coalesce("_mq_gone", F.array().cast("array<int>")), lambda i: i < F.size(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    slim = slim.withColumn("_mq_all", lines).withColumn("_mq_stay", stay)
-    kept = F.when(F.col("_mq_gone").isNull(), F.col("_mq_text")).otherwise(F.array_join(F.transform("_mq_stay", lambda i: F.get("_mq_all", i)), "\n"))
-    out = slim.withColumn("_mq_lines", F.when(F.col("_mq_text").isNull(), 0).otherwise(F.size("_mq_all")).cast("long")).withColumn("_mq_removed", F.when(F.col("_mq_gone").isNull(), 0).otherwise(F.size("_mq_all") - F.size("_mq_stay")).cast("long")).withColumn("_mq_text", kept)
+    hit = F.col("_mq_gone").isNotNull() & F.col("_mq_text").isNotNull()
+    text = F.col("_mq_text")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    slim = slim.withColumn("_mq_all", F.when(hit, F.split("_mq_text", "\n", -1)))
+    slim = slim.withColumn("_mq_stay", F.when(hit, F.array_except(F.sequence(F.lit(0), F.size("_mq_all") - 1), "_mq_gone")))
+    kept = F.when(hit, F.array_join(F.transform("_mq_stay", lambda i: F.get("_mq_all", i)), "\n")).otherwise(text)
+    out = slim.withColumn("_mq_lines", n_lines).withColumn("_mq_removed", F.when(hit, F.size("_mq_all") - F.size("_mq_stay")).otherwise(0).cast("long")).withColumn("_mq_text", kept)
     return out.select(*[(F.col("_mq_text") if c == "text" else F.col(f"_mq_row.`{c}`")).alias(c) for c in docs.columns], "_mq_lines", "_mq_removed")
 
 
