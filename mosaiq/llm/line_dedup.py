@@ -269,6 +269,9 @@ def _wanted_lines(batches):
 def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, line, comp) of every line of ``docs`` (doc_id, text) that isn't the first of its group.
 
+    Joins build hash tables from the sides that have each key once (a block, a line, a document), so that neither
+    texts nor the rows of all blocks are sorted.
+
     Lines end at \\n and count from 0. Two lines are linked if their normal words are equal, or if they share a key of
     ``run_keys`` and their word edit similarity, 1 - edits / words of the longer, is at least ``similarity`` (0.8 or
     more: below, the keys miss pairs). A group is what links connect; its first occurrence is the one of the smallest
@@ -291,13 +294,11 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     by_order = F.col("h1").bitwiseXOR(order)
     crowded = stored(blocks.groupBy("block").agg(F.min(by_order).alias("lo"), F.max(by_order).alias("hi")).filter("lo < hi").select("block", F.col("lo").bitwiseXOR(order).alias("lead")))
     reclaim(spark)
-    members = stored(blocks.join(crowded, "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
+    members = stored(blocks.join(crowded.hint("shuffle_hash"), "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
     places = stored(lines.select("doc_id", "line", "h1", "h2"))
     discard(lines)
     reclaim(spark)
-    sketches = reps.groupBy(F.col("h1").alias("rep")).agg(*least)
-
     def near(x: str, y: str):
         """Whether numbers of words and parities leave the edit similarity possible: an exact bound.
 
@@ -308,13 +309,13 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         return flips <= 2 * most
 
     def sketch_of(name: str, alias: str) -> DataFrame:
-        return sketches.select(F.col("rep").alias(name), F.struct("words", *_SKETCH).alias(alias))
+        return reps.select(F.col("h1").alias(name), F.struct("words", *_SKETCH).alias(alias)).hint("shuffle_hash")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of stored pairs, those that reach the edit similarity; their lines are fetched from the texts."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
         spots = reps.join(ids, "h1", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("h1").alias("rep"))).alias("s"))
-        content = docs.join(spots, "doc_id").select("text", F.col("s.line").alias("lines"), F.col("s.rep").alias("reps")).mapInPandas(_wanted_lines, "rep long, content binary")
+        content = docs.join(spots.hint("shuffle_hash"), "doc_id").select("text", F.col("s.line").alias("lines"), F.col("s.rep").alias("reps")).mapInPandas(_wanted_lines, "rep long, content binary")
         content = stored(content)
         one = content.groupBy("rep").agg(F.min("content").alias("content"))
         both = pairs.join(one.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(one.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
@@ -347,7 +348,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     for done in (members, stars, across, links, reps):
         discard(done)
     reclaim(spark)
-    gone = places.join(owned, ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
+    gone = places.join(owned.hint("shuffle_hash"), ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
     return gone.select("doc_id", "line", "comp")
 
 
@@ -359,7 +360,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
     gone = stored(repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("_mq_gone")))
     reclaim(docs.sparkSession)
     packed = docs.select(F.col("doc_id").cast("long").alias("_mq_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_mq_row"), F.col("text").alias("_mq_text"))
-    slim = packed.join(gone, "_mq_id", "left")
+    slim = packed.join(gone.hint("shuffle_hash"), "_mq_id", "left")
     hit = F.col("_mq_gone").isNotNull() & F.col("_mq_text").isNotNull()
     text = F.col("_mq_text")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
