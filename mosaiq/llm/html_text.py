@@ -1,11 +1,14 @@
 """Main text of web pages: streamed parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events into lines, one for each block of text, each with the
-characters outside links, the tags around them and the chain of its containers. Lines inside elements
-that can't be an article (menus, headers, footers, sidebars, notices, adverts, forms, comments of
-readers) have a ratio of zero. Ratios are smoothed over neighbouring lines; those above a share of their
-spread are content. The content region is the smallest container that holds nearly all content text; its
-other lines are kept too, so that short paragraphs and headings inside an article stay.
+characters outside links, the tags around them and its container. The ratio of a line is its characters
+outside links by tag; elements marked as something else than an article (forms, adverts, notices, comments of readers, by
+name, class, id or role) give their lines a ratio of zero, unless nearly nothing else is on the page. Ratios are
+smoothed over neighbouring lines and clustered in two on a log scale; the upper cluster is content. The
+content region is the deepest container that holds nearly all ratio mass of content, widened to the article around
+it and to siblings that are content too; its other unmarked lines are kept, so that short paragraphs and
+headings inside an article stay. Only a few elements are out whatever their ratio: menus, footers, sidebars,
+page headers, controls, and what is hidden.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text nobody reads as text.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video datalist".split())
 #: Elements that are never part of an article.
-FURNITURE = frozenset("nav footer aside form button select option textarea menu dialog label fieldset".split())
+FURNITURE = frozenset("nav footer aside button select option textarea menu dialog label".split())
+#: Elements that hold no article, unless they hold nearly the whole page.
+MARKED = frozenset("form fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -32,53 +37,76 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ENDS_P = BLOCKS - frozenset(("html", "body"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-#: Words of class, id and role that mark furniture, whole or as a part between separators.
-_MARKS = frozenset(
-    """ad ads adv advert advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs
-    sidebar aside complementary footer foot header masthead topbar cookie cookies consent gdpr notice notices alert alertbar popup modal overlay newsletter subscribe
-    subscription signup login share sharing social comment comments commentlist disqus reply replies respond discussion related recommended recommendations trending
-    widget widgets toolbar pagination pager search searchbox tags taglist contentinfo skip skiplink copyright legal disclaimer form dialog""".split()
+#: Words of class, id and role that mark an element wherever they stand in a name.
+_STRONG = frozenset(
+    """advert advertisement advertising adsense adbox sponsored breadcrumb breadcrumbs navbar navigation menubar sidebar complementary masthead topbar cookie cookies
+    consent gdpr newsletter comment comments commentlist disqus replies pagination contentinfo skiplink copyright disclaimer""".split()
 )
+#: Words that mark an element if they end a name, or begin one that doesn't end in a word of _BODY.
+_WEAK = frozenset(
+    """ad ads adv sponsor promo promotion banner nav menu footer foot header notice notices alert alertbar popup modal overlay subscribe subscription signup login
+    share sharing social reply respond related recommended recommendations trending widget widgets toolbar pager search searchbox tags taglist skip legal form dialog""".split()
+)
+_BODY = frozenset("body content text free story article main entry post page".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*$")
 _HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 def is_furniture(tag: str, attrs: dict) -> bool:
-    """Whether an element can't be part of an article, by its name, role, class, id or being hidden."""
+    """Whether an element is out whatever its text: by its name, or hidden."""
     if tag in FURNITURE:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+
+def is_marked(tag: str, attrs: dict) -> bool:
+    """Whether name, class, id or role say that an element is no article."""
+    if tag in MARKED:
         return True
-    names = " ".join(attrs[k] for k in ("class", "id", "role") if attrs.get(k))
-    return bool(names) and not _MARKS.isdisjoint(_PARTS.split(_HUMPS.sub("-", names).lower()))
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for key in ("class", "id", "role"):
+        for name in (attrs.get(key) or "").split():
+            parts = [x for x in _PARTS.split(_HUMPS.sub("-", name).lower()) if x]
+            if parts and (not _STRONG.isdisjoint(parts) or parts[-1] in _WEAK or (parts[0] in _WEAK and parts[-1] not in _BODY)):
+                return True
+    return False
 
 
 class Line:
-    __slots__ = ("text", "linked", "tags", "path", "dull")
+    __slots__ = ("text", "linked", "tags", "region", "dull", "marks", "titled")
 
-    def __init__(self, text, linked, tags, path, dull):
-        self.text, self.linked, self.tags, self.path, self.dull = text, linked, tags, path, dull
+    def __init__(self, text, linked, tags, region, dull, marks, titled):
+        self.text, self.linked, self.tags, self.region, self.dull, self.marks, self.titled = text, linked, tags, region, dull, marks, titled
 
 
 class Lines(HTMLParser):
-    """Parser events to lines. Open elements are a stack; end tags without a start are passed over."""
+    """Parser events to lines. Open elements are a stack of any depth; end tags without a start are passed over.
+
+    Regions are numbered in page order, with the number of the one around each; so are marked elements.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, tuple]] = [("", False, False, ())]  # tag, dull, silent, containers
+        self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # tag, dull, silent, region, innermost mark
+        self.counts: dict[str, int] = {}
+        self.around, self.kinds = [0], [""]
+        self.marked_in = [0]
         self._parts: list[str] = []
-        self._linked = self._tags = self._links = self._regions = 0
-        self._articles = 0
+        self._linked = self._tags = 0
+
+    def _has(self, tag: str) -> int:
+        return self.counts.get(tag, 0)
 
     def _flush(self):
         text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
-            _, dull, _, path = self.open[-1]
-            self.lines.append(Line(text, self._linked, self._tags, path, dull))
+            _, dull, _, region, mark = self.open[-1]
+            self.lines.append(Line(text, self._linked, self._tags, region, dull, mark, bool(self._has("article") or self._has("main") or self._has("h1"))))
             self._tags = 0
         self._parts, self._linked = [], 0
 
@@ -87,10 +115,7 @@ class Lines(HTMLParser):
             tag = self.open[-1][0]
             if tag in BLOCKS:
                 self._flush()
-            if tag == "a":
-                self._links -= 1
-            elif tag in ("article", "main"):
-                self._articles -= 1
+            self.counts[tag] -= 1
             self.open.pop()
 
     def handle_starttag(self, tag, attrs):
@@ -101,7 +126,7 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self._flush()
             return
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and self._has("p"):
             for i in range(len(self.open) - 1, 0, -1):
                 name = self.open[i][0]
                 if name == "p":
@@ -109,7 +134,7 @@ class Lines(HTMLParser):
                     break
                 if name not in INLINE:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(map(self._has, _CLOSES[tag])):
             for i in range(len(self.open) - 1, 0, -1):
                 name = self.open[i][0]
                 if name in _CLOSES[tag]:
@@ -121,24 +146,18 @@ class Lines(HTMLParser):
             self._flush()
         elif tag in CELLS:
             self._parts.append(" ")
-        _, dull, silent, path = self.open[-1]
+        _, dull, silent, region, mark = self.open[-1]
         attrs = dict(attrs)
-        if not dull:
-            dull = is_furniture(tag, attrs) or (tag == "header" and not self._articles)
-        silent = silent or tag in SILENT
+        dull = dull or is_furniture(tag, attrs) or (tag == "header" and not (self._has("article") or self._has("main")))
+        if not dull and is_marked(tag, attrs):
+            self.marked_in.append(mark)
+            mark = len(self.marked_in) - 1
         if tag in REGIONS:
-            self._regions += 1
-            path = (*path, (self._regions, tag)) if len(path) < 64 else path
-        if tag == "a":
-            self._links += 1
-        elif tag in ("article", "main"):
-            self._articles += 1
-        if len(self.open) < 4096:
-            self.open.append((tag, dull, silent, path))
-        elif tag == "a":
-            self._links -= 1
-        elif tag in ("article", "main"):
-            self._articles -= 1
+            self.around.append(region)
+            self.kinds.append(tag)
+            region = len(self.around) - 1
+        self.counts[tag] = self._has(tag) + 1
+        self.open.append((tag, dull, silent or tag in SILENT, region, mark))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -149,6 +168,8 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in CELLS:
             self._parts.append(" ")
+        if not self._has(tag):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             name = self.open[i][0]
             if name == tag:
@@ -161,7 +182,7 @@ class Lines(HTMLParser):
         if self.open[-1][2]:
             return
         self._parts.append(data)
-        if self._links:
+        if self._has("a"):
             self._linked += len(data)
 
     def finish(self) -> list[Line]:
@@ -171,6 +192,40 @@ class Lines(HTMLParser):
         return self.lines
 
 
+def unmarked(lines: list[Line], marked_in: list[int], share: float = 0.1) -> list[bool]:
+    """For each line, whether no mark stands against it.
+
+    While the lines without a mark hold under ``share`` of the characters outside links, and none of them lies in an article,
+    a main element or a first heading, the mark around the most characters is lifted: a form may hold a whole page.
+    """
+    lifted = {0}
+    size = [max(0, len(x.text) - x.linked) if not x.dull else 0 for x in lines]
+
+    def blocking(mark: int) -> int:
+        while mark in lifted and mark:
+            mark = marked_in[mark]
+        return 0 if mark in lifted else mark
+
+    while True:
+        free = [not blocking(x.marks) for x in lines]
+        held: dict[int, int] = {}
+        for x, n, ok in zip(lines, size, free):
+            if not ok and n:
+                top = m = blocking(x.marks)
+                while m:  # the outermost mark that is left around the line
+                    top, m = m, blocking(marked_in[m])
+                held[top] = held.get(top, 0) + n
+        open_ = sum(n for n, ok in zip(size, free) if ok)
+        if not held or open_ >= share * sum(size) or any(ok and x.titled and not x.dull for x, ok in zip(lines, free)):
+            return free
+        lifted.add(max(held, key=lambda m: (held[m], -m)))
+
+
+def ratios(lines: list[Line], free: list[bool]) -> np.ndarray:
+    """Characters outside links by tag; zero for furniture and marked elements."""
+    return np.array([0.0 if x.dull or not ok else max(0, len(x.text) - x.linked) / max(1, x.tags) for x, ok in zip(lines, free)])
+
+
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing with weights that sum to one at the ends too."""
     reach = int(np.ceil(3 * sigma))
@@ -179,34 +234,69 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + n] / np.convolve(np.ones(n), kernel)[reach : reach + n]
 
 
-def select(lines: list[Line], sigma: float = 1.0, spread: float = 0.5, nearly: float = 0.9) -> list[Line]:
+def threshold(values: np.ndarray, most: float = 40.0) -> float:
+    """The ratio that parts two clusters of values (two means on a log scale), ``most`` at most: that much text by tag is content."""
+    x = np.log1p(values)
+    low, high = float(x.min()), float(x.max())
+    for _ in range(32):
+        middle = (low + high) / 2
+        upper = x > middle
+        if not upper.any() or upper.all():
+            break
+        new = float(x[~upper].mean()), float(x[upper].mean())
+        if new == (low, high):
+            break
+        low, high = new
+    return min(most, float(np.expm1((low + high) / 2)))
+
+
+def select(lines: list[Line], around: list[int], kinds: list[str], marked_in: list[int], sigma: float = 1.0, nearly: float = 0.9, alike: float = 0.8) -> list[Line]:
     """The lines of the content region, in page order."""
-    able = [x for x in lines if not x.dull]
+    able = [i for i, x in enumerate(lines) if not x.dull]
     if not able:
         return []
-    ratios = np.array([0.0 if x.dull else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
-    smooth = smoothed(ratios, sigma)
-    content = [x for x, s in zip(lines, smooth) if not x.dull and s >= spread * smooth.std() and len(x.text) > x.linked] or able
-    total = sum(len(x.text) for x in content)
-    weight: dict[tuple, int] = {}
-    depth: dict[tuple, int] = {}
-    for x in content:
-        for d, region in enumerate(x.path):
-            weight[region] = weight.get(region, 0) + len(x.text)
-            depth[region] = d
-    articles = [r for r in weight if r[1] in ("article", "main")]
-    if articles and sum(weight[r] for r in articles if not any(a != r and depth[a] < depth[r] for a in articles)) >= 0.5 * total:
-        nest = max(articles, key=lambda r: (weight[r], depth[r]))
-        chosen = {r for r in articles if weight[r] > 0.25 * weight[nest]}
-        return [x for x in able if not chosen.isdisjoint(x.path)]
-    best = max((r for r in weight if weight[r] >= nearly * total), key=lambda r: depth[r], default=None)
-    if best is None:
-        return content
-    inside = [x for x in able if best in x.path]
-    # Inner containers without any content line are furniture that nobody has marked.
-    good = {r for x in content for r in x.path}
-    at = {id(x): x.path.index(best) for x in inside}
-    return [x for x in inside if all(r in good for r in x.path[at[id(x)] + 1 :]) and not (x.linked >= len(x.text) > 0 and x.path[-1] not in good)]
+    free = unmarked(lines, marked_in)
+    ratio = ratios(lines, free)
+    smooth = smoothed(ratio, sigma)
+    least = threshold(smooth)
+    content = [not x.dull and r > 0 and s >= least for x, r, s in zip(lines, ratio, smooth)]
+    if not any(content):
+        content = [not x.dull and r > 0 for x, r in zip(lines, ratio)]
+    if not any(content):
+        return [lines[i] for i in able if free[i]]
+
+    # Sums by region, from inner to outer: a region's number is larger than that of the one around it.
+    n = len(around)
+    mass, rest, text = np.zeros(n), np.zeros(n), np.zeros(n)
+    for x, r, c in zip(lines, ratio, content):
+        if c:
+            mass[x.region] += r
+            text[x.region] += len(x.text)
+        elif not x.dull:
+            rest[x.region] += len(x.text)
+    own = text > 0
+    for k in range(n - 1, 0, -1):
+        for sums in (mass, rest, text):
+            sums[around[k]] += sums[k]
+    best = max((k for k in range(n) if mass[k] >= nearly * mass[0]), default=0)
+    k = best
+    while k:  # the outermost article around it, or a region that adds little but content
+        k = around[k]
+        added, other = text[k] - text[best], rest[k] - rest[best]
+        if kinds[k] in ("article", "main") or (kinds[best] not in ("article", "main") and added and added >= alike * (added + other)):
+            best = k
+    inside = np.zeros(n, bool)
+    inside[best] = True
+    for k in range(best + 1, n):
+        inside[k] = inside[around[k]]
+    # A container of links alone is a menu that nobody has marked.
+    links, held = np.zeros(n), np.zeros(n)
+    for x in lines:
+        if not x.dull:
+            links[x.region] += x.linked
+            held[x.region] += len(x.text)
+    menu = ~own & (links >= 0.9 * held) & (np.arange(n) != best)
+    return [x for x, c, ok in zip(lines, content, free) if not x.dull and inside[x.region] and (c or (ok and not menu[x.region]))]
 
 
 def main_text(html) -> str:
@@ -215,7 +305,7 @@ def main_text(html) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    return "\n".join(x.text for x in select(parser.finish()))
+    return "\n".join(x.text for x in select(parser.finish(), parser.around, parser.kinds, parser.marked_in))
 
 
 def _extract(batches):
@@ -230,7 +320,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``: a narrow map, page by page.
 
     Pages of any size go through whole. White space inside a block becomes one space, a line break
-    included. Repeated rows are extracted alike. An empty table gives an empty result.
+    included. Null and empty pages give an empty text. Repeated rows are extracted alike, other columns of the
+    table are left out. An empty table gives an empty result.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return slim.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

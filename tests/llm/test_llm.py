@@ -99,7 +99,49 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A paragraph of the article with enough words in it to be seen as text of its own right."
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><nav>menu</nav><form action=x><div><h2>Name</h2><p>{LONG}<p>{LONG}</div></form><footer>f</footer></body>", f"Name\n{LONG}\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section id='discussion'><h2>D</h2><p>{LONG}</p></section></article><div class='comments'><p>{LONG}</p></div>", f"T\n{LONG}\nD\n{LONG}"),
+        (f"<body><div class='ad-free content'><p>{LONG}</p><p>ok</p></div><div class='ad'>{LONG}</div></body>", f"{LONG}\nok"),
+        (f"<body><div class='post-header-body'><p>{LONG}</p></div><div class='sidebar'>short</div></body>", LONG),
+        (f"<body><div class='comment-list'><p>{LONG}</p><p>{LONG}</p></div><article><p>Short.</p></article></body>", "Short."),
+        ("<article>" + "<div>" * 300 + f"<p>{LONG}</p>" + "</div>" * 300 + "<p>End.</p></article><div class=ad>x</div>", f"{LONG}\nEnd."),
+        ("<span>" * 6000 + "<nav>" + "<i>" * 6000 + "hidden" + "</i>" * 6000 + "</nav>" + f"<p>{LONG}</p>", LONG),
+    ],
+)
+def test_marks_yield_to_the_mass_of_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_ratios_decide_what_no_mark_tells():
+    blurb = "<div><a href=x>one</a> <a href=y>two</a> <a href=z>three</a> <a href=w>four</a></div>"
+    page = f"<body>{blurb}<div>{''.join(f'<p>{LONG}</p>' for _ in range(6))}</div>{blurb}</body>"
+    assert html_text.main_text(page) == "\n".join([LONG] * 6)
+    parser = html_text.Lines()
+    parser.feed(page)
+    lines = parser.finish()
+    found = html_text.ratios(lines, html_text.unmarked(lines, parser.marked_in))
+    assert found[1] == len(LONG) / lines[1].tags and found[0] < 2
+
+
+def test_smoothing_and_threshold_against_loops():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40):
+        x = rng.integers(0, 300, n).astype(float)
+        w = [[np.exp(-0.5 * (i - j) ** 2) if abs(i - j) <= 3 else 0.0 for j in range(n)] for i in range(n)]
+        want = [sum(a * b for a, b in zip(row, x)) / sum(row) for row in w]
+        assert np.allclose(html_text.smoothed(x, 1.0), want)
+    assert 1 < html_text.threshold(np.array([0.0, 0.5, 1.0, 30.0, 35.0, 28.0])) < 28
+    assert html_text.threshold(np.array([500.0, 700.0, 5000.0])) == 40
+
+
 def test_extract_keeps_every_row(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "<p>" + "word " * 50_000)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(out) == 4 and all(r["n_chars"] == len(r["text"]) for r in out)
