@@ -104,7 +104,7 @@ def path_segment(segment: Column) -> Column:
 
 def path_segments(path: Column) -> Column:
     """The parsed segments of a label path; null if any is malformed."""
-    found = F.transform(F.split(path, "/"), path_segment)
+    found = F.transform(F.split(path, "/"), lambda s: path_segment(s))
     return F.when(F.forall(found, lambda s: s.isNotNull()), found)
 
 
@@ -210,7 +210,7 @@ def fit_sample(head: Column, path: Column, error: Column, most: int = 200) -> Co
 
 def csv_list(text: Column) -> Column:
     """The trimmed parts between commas that aren't empty."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tile_sizes(text: Column) -> Column:
