@@ -1,8 +1,8 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-A word's probability is that of its class in its context, times that of the word in its class. The class
-(words that begin alike) comes from a maximum-entropy model over hashed features: the word before, the
-word before that (a skip), and the n-gram of the three classes before. Every training text updates the
+A word's probability is that of its class in its context, times that of the word in its class. Each of the most frequent
+words is a class of its own, the others fall into classes of words that begin alike. The class comes from a
+maximum-entropy model over hashed features: the word before, the word before that (a skip), and the n-gram of the three classes before. Every training text updates the
 weights once: tasks run gradient steps over their own texts, and the weights that they moved are averaged
 by feature row between rounds. Words in a class are counted over all training texts. Scoring looks up
 frequent words (a bounded number) in the workers and all others by a join.
@@ -18,15 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import bucket_of, stored, words
+from mosaiq.llm.common import bucket_of, most_frequent, stored, words
 
 CLASSES, ROWS = 32, 1 << 14
 END = b"\n"  # no word holds white space
 _STEP = 8192
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[:3]) % CLASSES
+#: Classes of a single word each.
+OWN = 16
+
+
+def class_of(word: bytes, own: dict[bytes, int]) -> int:
+    found = own.get(word)
+    return OWN + zlib.crc32(word[:3]) % (CLASSES - OWN) if found is None else found
 
 
 def tokens_of(text) -> list[bytes]:
@@ -38,10 +43,10 @@ def tokens_of(text) -> list[bytes]:
 class Contexts:
     """Tokens of texts as classes and feature rows; hash, class and count of words seen lately are at hand (bounded)."""
 
-    def __init__(self, counts: dict[bytes, int] | None = None, limit: int = 400_000):
+    def __init__(self, own: dict[bytes, int], counts: dict[bytes, int] | None = None, limit: int = 400_000):
         import xxhash
 
-        self._hash, self._counts, self._limit = xxhash.xxh3_64_intdigest, counts or {}, limit
+        self._hash, self._own, self._counts, self._limit = xxhash.xxh3_64_intdigest, own, counts or {}, limit
         self._clear()
 
     def _clear(self):
@@ -59,7 +64,7 @@ class Contexts:
             number.update(zip(new, range(len(number), len(number) + len(new))))
             ids[missing] = [number[tokens[i]] for i in missing.tolist()]
             self.hashes = np.append(self.hashes, np.fromiter(map(self._hash, new), np.uint64, len(new)))
-            self.kinds = np.append(self.kinds, np.fromiter(map(class_of, new), np.int64, len(new)))
+            self.kinds = np.append(self.kinds, np.fromiter((class_of(w, self._own) for w in new), np.int64, len(new)))
             self.counts = np.append(self.counts, np.fromiter(map(self._counts.get, new, repeat(0)), np.int64, len(new)))
         return ids
 
@@ -113,14 +118,14 @@ def _chunk(sizes, toks):
     return n, toks, np.arange(len(toks)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _updates(start: tuple[np.ndarray, np.ndarray], rate: float):
+def _updates(start: tuple[np.ndarray, np.ndarray, dict], rate: float):
     """Gradient steps over a task's texts from the given weights; yields how far each touched row moved."""
 
     def run(batches):
-        w0, bias0 = start
+        w0, bias0, own = start
         w, bias = w0.copy(), bias0.copy()
         square = np.full(ROWS, 1e-2, np.float32)
-        seen, n_all, ctx = np.zeros(ROWS, np.int64), 0, Contexts()
+        seen, n_all, ctx = np.zeros(ROWS, np.int64), 0, Contexts(own)
         for _, toks, first in _chunks(batches, 4 * _STEP):
             _, k_all, rows_all = ctx(toks, first)
             for lo in range(0, len(toks), _STEP):
@@ -150,7 +155,7 @@ def _updates(start: tuple[np.ndarray, np.ndarray], rate: float):
     return run
 
 
-def train(docs: DataFrame, folds: list[list[int]], start: np.ndarray, rate: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, folds: list[list[int]], start: np.ndarray, own: dict[bytes, int], rate: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
     """Weights (ROWS, CLASSES) and bias after one round for each list of folds; ``start``: log shares of classes.
 
     What comes back to the driver is the model, of fixed size.
@@ -160,7 +165,7 @@ def train(docs: DataFrame, folds: list[list[int]], start: np.ndarray, rate: floa
     schema = "row int, weight long, " + ", ".join(f"{c} double" for c in names)
     context = docs.sparkSession.sparkContext
     for part in folds:
-        sent = context.broadcast((w, bias))
+        sent = context.broadcast((w, bias, own))
         moved = docs.filter(F.col("fold").isin(part)).select("text").mapInPandas(lambda b, s=sent: _updates(s.value, rate)(b), schema)
         total = moved.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).filter("weight > 0").toPandas().sort_values("row")
         step = (total[names].to_numpy() / total["weight"].to_numpy()[:, None]).astype(np.float32)
@@ -195,9 +200,9 @@ def _scores(sent):
     def run(batches):
         from pyspark import TaskContext
 
-        w, bias, class_norm, head_words, head_counts = sent.value
+        w, bias, own, class_norm, head_words, head_counts = sent.value
         head = dict(zip(head_words, head_counts))
-        ctx, nth = Contexts(head), TaskContext.get().partitionId() << 36
+        ctx, nth = Contexts(own, head), TaskContext.get().partitionId() << 36
         for pdf in batches:
             made = []
             texts = pdf["text"].tolist()
@@ -253,15 +258,20 @@ def score(docs: DataFrame, head: int = 1 << 17, mod: int = 7, held: int = 2) ->
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket_of(F.col("doc_id"), mod).alias("fold"))
     training = slim.filter(F.col("fold") != held)
     counts = stored(training.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    by_class = counts.groupBy((F.crc32(F.substring(F.col("word").cast("binary"), 1, 3)) % CLASSES).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    top = most_frequent(counts, "word", "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    # the end of a text is a word like others here; words that share a count with the last of the table are looked up by the join
+    own = {w.encode(): i for i, w in enumerate(top["word"][:OWN])}
+    k = OWN + F.crc32(F.substring(F.col("word").cast("binary"), 1, 3)) % (CLASSES - OWN)
+    for w, i in own.items():
+        k = F.when(F.col("word") == w.decode(), i).otherwise(k)
+    by_class = counts.groupBy(k.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
         size[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     total, distinct = int(size.sum()), int(kinds.sum())
     known = [f for f in range(mod) if f != held]
-    w, bias = train(slim, [known[0::2], known[1::2]], np.log((size + 1) / (size + 1).sum())) if total else (np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
-    top = counts.orderBy(F.col("c").desc(), "word").limit(head).toPandas()
-    sent = spark.sparkContext.broadcast((w, bias, np.log10(size + kinds + 1), [w.encode() for w in top["word"]], top["c"].tolist()))
+    w, bias = train(slim, [known[0::2], known[1::2]], np.log((size + 1) / (size + 1).sum()), own) if total else (np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
+    sent = spark.sparkContext.broadcast((w, bias, own, np.log10(size + kinds + 1), [w.encode() for w in top["word"]], top["c"].tolist()))
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, gain double, tail string"
     rows = stored(slim.select("doc_id", "text", (F.col("fold") == held).alias("held_out")).mapInPandas(_scores(sent), schema))
     tail = rows.filter("tail <> ''").select("uid", F.explode(F.split("tail", " ")).alias("word")).join(counts, "word").groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
