@@ -131,20 +131,20 @@ def chosen_terms(counts: pd.DataFrame, n_bad: int, n_good: int, most: int, least
     share = (a + b) / (n_bad + n_good)
     z = (a / n_bad - b / n_good) / np.sqrt(share * (1 - share) * (1 / n_bad + 1 / n_good) + 1e-12)
     order = np.lexsort((counts["term"], -np.abs(np.where(a + b >= least_df, z, 0))))[:most]
-    order = order[(np.abs(z[order]) > 2) & ((a + b)[order] >= least_df)]
+    order = order[(a + b)[order] >= least_df]  # a term that tells nothing alone may do so beside another
     return counts["term"].to_numpy()[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 6000, least_df: int = 4, label: str = "toxic"):
     """(slots of hashed terms, machine), from at most ``bound`` labelled rows outside the held-out fold.
 
-    The sample's ids are broadcast and its term lists collected: both are limited by ``bound``. The counts
+    Of labels that disagree about an id, toxic counts; of texts that share one, the least. The sample's ids are broadcast and its term lists collected: both are limited by ``bound``. The counts
     that choose terms are limited by the hash space. Without labels of both kinds: (None, None).
     """
     y = F.col(label).cast("int")
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(y > 0, 1).otherwise(0).alias("y")).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(y > 0, 1).otherwise(0).alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = sample_by_hash(known, "doc_id", bound, salt=9)
-    seen = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]))
+    seen = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
     sizes = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None, None
@@ -179,7 +179,8 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
     Held out are the ids whose CRC-32 modulo 5 is 0: their labels are never read. Null and empty texts
-    get the machine's bias. Without labels of both kinds every score is 0.
+    get the machine's bias. Without labels of both kinds every score is 0. Repeated rows are scored alike; an empty
+    table gives an empty result.
     """
     slots, machine = train(docs, labels, **how)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"))
