@@ -27,7 +27,8 @@ def word_count(text):
 
 
 def row_key():
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    """A hash of id, text and source, nulls told apart from empty texts."""
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "text", "source")])
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -123,7 +124,7 @@ def rounded(fractions: DataFrame, seed: int = 1, fan_in: int = 2048, levels: int
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(row_key, doc_id, source, size, source_size, target, copies, taken) of every row of ``docs``.
 
-    ``row_key`` tells rows of one doc_id apart (a hash of the whole row); equal rows are alike and
+    ``row_key`` tells rows of one doc_id apart (a hash of id, text and source); rows equal in these are alike and
     may share copies between them in any way. Documents without words take nothing. Null sources are
     a source of their own, the last. An empty table gives an empty result.
     """
