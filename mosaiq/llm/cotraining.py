@@ -255,7 +255,7 @@ def train(rows: DataFrame, bound: int = 8_000) -> CoTrained | None:
     ``rows``: doc_id, both views and y (1, 0, -1 where unlabelled, null where there is no id). The sample is collected.
     """
     ids = sample_by_hash(rows.filter("y >= 0").select("doc_id").distinct(), "doc_id", bound, salt=5)
-    known = rows.filter("y >= 0").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    known = rows.filter("y >= 0").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "meta")).alias("v")).select("doc_id", "y", "v.*").toPandas()
     y = known["y"].to_numpy(int) if len(known) else np.empty(0, int)
     if (y == 1).sum() < 10 or (y == 0).sum() < 10:
         return None
@@ -278,10 +278,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) ->
     """(doc_id, text_score, meta_score, score, kept) of every row of ``docs``; kept: score of at least a half.
 
     Null and empty texts and null metadata are values like others. Without labels of both kinds (ten of
-    each) all are kept with score 1. Repeated rows are scored alike.
+    each) all are kept with score 1. Repeated rows are scored alike; of labels that disagree about an id, bad counts. An
+    empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label) > 0, 1).otherwise(0).alias("y")).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label) > 0, 1).otherwise(0).alias("y")).groupBy("doc_id").agg(F.min("y").alias("y"))
     views = slim.mapInPandas(_featured, "doc_id long, text array<float>, meta array<float>").join(known, "doc_id", "left")
     rows = stored(views.select("doc_id", "text", "meta", F.when(F.col("doc_id").isNotNull(), F.coalesce("y", F.lit(-1))).alias("y")))
     out = rows.select("doc_id", "text", "meta").mapInArrow(_scored(train(rows, **how)), "doc_id long, text_score double, meta_score double, score double")

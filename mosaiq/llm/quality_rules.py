@@ -195,11 +195,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """The list learned from at most ``bound`` labelled rows (smallest hash of the key), label 0 being bad.
 
     The labelled ids are broadcast; ``bound`` is their proven limit. Rows that the base rules reject
-    don't count. Without labels the list is empty.
+    don't count. Of labels that disagree about a key, bad counts; of texts that share a key, the least. Without labels
+    or documents the list is empty.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_mq_key"), (F.col(label) == 0).alias("_mq_bad")).dropDuplicates(["_mq_key"])
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_mq_key"), (F.col(label) == 0).alias("_mq_bad")).groupBy("_mq_key").agg(F.bool_or("_mq_bad").alias("_mq_bad"))
     known = sample_by_hash(known, "_mq_key", bound, salt=7)
     seen = docs.select(F.col(key).alias("_mq_key"), F.col(text).alias("_mq_body")).join(F.broadcast(known), "_mq_key")
+    seen = seen.groupBy("_mq_key", "_mq_bad").agg(F.min("_mq_body").alias("_mq_body"))
     s = F.col(_STATS)
     rows = with_statistics(seen, "_mq_body").filter(~base_failed(s)).select("_mq_key", "_mq_bad", *[v.alias(k) for k, v in features(s).items()]).collect()
     return learn([({f: float(r[f]) for f in FEATURES}, bool(r["_mq_bad"])) for r in sorted(rows, key=lambda r: (hash_order(r["_mq_key"]), r["_mq_key"]))])

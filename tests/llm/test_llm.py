@@ -228,8 +228,9 @@ def test_language_model_learns_context(spark):
 
 
 def test_word_beginnings_fall_into_more_than_16_classes():
-    kinds = {language_model.class_of(f"{a}{b}".encode()) for a in "abcdefghijklmnopqrstuvwxyz" for b in range(10)}
-    assert kinds == set(range(language_model.CLASSES)) and len(kinds) >= 32
+    kinds = {language_model.class_of(f"{a}{b}".encode(), {str(i).encode(): i for i in range(16)}) for a in "abcdefghijklmnopqrstuvwxyz" for b in range(10)}
+    assert kinds == set(range(language_model.OWN, language_model.CLASSES)) and language_model.CLASSES >= 32
+    assert language_model.class_of(b"the", {b"the": 3}) == 3
 
 
 # 5 line dedup -------------------------------------------------------------------------------------------
@@ -582,3 +583,37 @@ def test_pipeline_decodes_what_it_encodes(spark):
 
     out = dict(p.STAGES)["token ids"](spark, docs_of(spark, ["some  text", "Straße 漢", None]), "").collect()
     assert len(out) == 3 and all(r["round_trip"] for r in out)
+
+
+def test_samples_and_frequent_words_by_threshold(spark):
+    ids = spark.range(20_000)
+    assert {r[0] for r in common.sample_by_hash(ids, "id", 500, 3).collect()} == {r[0] for r in ids.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(500).collect()}
+    counts = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1] * 50 + [2] * 20 + [5] * 3 + [10**6, 10**7])], "word string, c long")
+    assert sorted(r["c"] for r in common.most_frequent(counts, "word", "c", 30).collect()) == [2] * 20 + [5] * 3 + [10**6, 10**7]
+    assert sorted(r["c"] for r in common.most_frequent(counts, "word", "c", 24).collect()) == [5] * 3 + [10**6, 10**7]
+    assert common.most_frequent(counts, "word", "c", 1).collect()[0]["c"] == 10**7 and common.most_frequent(counts.limit(0), "word", "c", 5).count() == 0
+
+
+def test_labels_and_texts_that_disagree_are_settled_alike(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, 80) + (" # * # * $" * 6 if i % 2 else "") for i in range(120)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 3 == 0)) for i in range(120)], LABELS)
+    twisted = labels.union(labels.filter("doc_id < 10").selectExpr("doc_id", "1 - quality", "1 - toxic"))
+    twice = docs.union(docs.filter("doc_id < 20").withColumn("text", F.lit("zzz")))
+    for operator, column in ((lambda d, x: quality_rules.report(d, x), "rule"), (lambda d, x: cotraining.score(d, x), "score"), (lambda d, x: toxicity.score(d, x), "score")):
+        first = sorted(map(str, operator(twice, twisted).select("doc_id", column).collect()))
+        again = sorted(map(str, operator(twice.repartition(3, F.rand(5)), twisted.repartition(5, F.rand(6))).select("doc_id", column).collect()))
+        assert [x.split("=")[1][:6] for x in first] == [x.split("=")[1][:6] for x in again]
+        assert operator(docs.limit(0), labels).count() == 0 and operator(docs, labels.limit(0)).count() == 120
+
+
+def test_the_pair_sum_of_the_machine_is_that_of_a_double_loop():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(30)
+    machine.w, machine.v, machine.bias = rng.normal(size=machine.w.shape), rng.normal(size=machine.v.shape), 0.3
+    lists = [rng.choice(30, n, replace=False) for n in (0, 1, 2, 7, 20)]
+    flat, ends = np.concatenate(lists).astype(np.int64), np.cumsum([len(x) for x in lists])
+    want = [0.3 + sum(machine.w[i] for i in x) + sum(float(machine.v[i] @ machine.v[j]) for a, i in enumerate(x) for j in x[:a]) for x in lists]
+    assert np.allclose(machine.raw(flat, ends), want)
+    assert np.allclose(machine.score(flat, ends), 1 / (1 + np.exp(-np.array(want))))
