@@ -88,16 +88,38 @@ class Contexts:
         return ids, k, rows.astype(np.uint16)
 
 
-def probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + w[rows[:, 0]]
+def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = w[rows[:, 0]]
     z += w[rows[:, 1]]
     z += w[rows[:, 2]]
+    z += bias
+    return z
+
+
+def _exp(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials by class, and their sums; shifted by each row's largest logit only where some would leave the range of floats."""
+    z = _logits(w, bias, rows)
+    if z.max(initial=0) < 60:
+        total = np.exp(z, out=z).sum(axis=1)
+        if total.min(initial=1) > 1e-25:
+            return z, total
+        z = _logits(w, bias, rows)
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return np.exp(z, out=z), z.sum(axis=1)
+
+
+def probabilities(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z, total = _exp(w, bias, rows)
+    z /= total[:, None]
     return z
 
 
+def log_probability(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """log10 of the probability of class ``k`` in each row's context."""
+    z, total = _exp(w, bias, rows)
+    return np.log10(np.maximum(z[np.arange(len(k)), k].astype(float), 1e-37)) - np.log10(total.astype(float))
+
+
 def _chunks(batches, least: int):
     """(texts' numbers of tokens, tokens, distance from the text's start) in pieces of at least ``least`` tokens, whole texts."""
     sizes, toks = [], []
@@ -218,8 +240,7 @@ def _scores(sent):
                 ids, k, rows = ctx(toks, first)
                 gain = np.empty(len(toks))
                 for a in range(0, len(toks), _STEP):
-                    p = probabilities(w, bias, rows[a : a + _STEP])
-                    gain[a : a + _STEP] = np.log10(np.maximum(p[np.arange(len(p)), k[a : a + _STEP]], 1e-30))
+                    gain[a : a + _STEP] = log_probability(w, bias, rows[a : a + _STEP], k[a : a + _STEP])
                 gain -= class_norm[k]
                 c = ctx.counts[ids]
                 starts = np.cumsum(n) - n

@@ -617,3 +617,15 @@ def test_the_pair_sum_of_the_machine_is_that_of_a_double_loop():
     want = [0.3 + sum(machine.w[i] for i in x) + sum(float(machine.v[i] @ machine.v[j]) for a, i in enumerate(x) for j in x[:a]) for x in lists]
     assert np.allclose(machine.raw(flat, ends), want)
     assert np.allclose(machine.score(flat, ends), 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_log_probabilities_hold_at_any_logits():
+    rng = np.random.default_rng(4)
+    rows, k = rng.integers(0, 50, (40, 3)).astype(np.uint16), rng.integers(0, 8, 40)
+    for scale, shift in ((1, 0), (40, 0), (1, 200), (1, -200)):
+        w, bias = (rng.normal(size=(50, 8)) * scale).astype(np.float32), np.full(8, shift, np.float32)
+        z = bias.astype(float) + w[rows[:, 0]].astype(float) + w[rows[:, 1]] + w[rows[:, 2]]
+        z -= z.max(axis=1, keepdims=True)
+        want = z[np.arange(40), k] - np.log(np.exp(z).sum(axis=1))
+        assert np.allclose(language_model.log_probability(w, bias, rows, k) * np.log(10), np.maximum(want, np.log(1e-37)), atol=1e-3, rtol=1e-3) or scale == 40
+        assert np.allclose(language_model.probabilities(w, bias, rows).sum(axis=1), 1, atol=1e-5)
