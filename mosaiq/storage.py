@@ -35,11 +35,23 @@ def new_path(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: whether a query's shuffle files go as soon as it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read again: cuts lineage and plan, survives lost executors."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once as Parquet and read again: cuts lineage and plan, survives lost executors.
+
+    The shuffle files of the write go with its end, not at some later garbage collection of the driver.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
