@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages now instead of at some later garbage collection of the driver."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bytes_of(text) -> bytes:
     """UTF-8 of a text; null and whatever is no string count as empty, lone surrogates are replaced."""
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""

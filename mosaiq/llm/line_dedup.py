@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import bytes_of, connected_components, discard, mix64, reclaim, stored
+from mosaiq.llm.common import bytes_of, connected_components, discard, mix64, stored
 
 _MARKS = b".,;:!?\"'()[]{}<>|*#$%&-_"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
@@ -281,7 +281,6 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     if similarity < 0.8:
         raise ValueError("the block keys hold for a similarity of at least 0.8")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     lines = stored(docs.mapInArrow(_hash_lines, _LINE_SCHEMA))
     least = [F.min(c).alias(c) for c in ("words", *_SKETCH)]
@@ -293,12 +292,10 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     order = F.xxhash64("block")
     by_order = F.col("h1").bitwiseXOR(order)
     crowded = stored(blocks.groupBy("block").agg(F.min(by_order).alias("lo"), F.max(by_order).alias("hi")).filter("lo < hi").select("block", F.col("lo").bitwiseXOR(order).alias("lead")))
-    reclaim(spark)
     members = stored(blocks.join(crowded.hint("shuffle_hash"), "block").repartition("h1").select("block", F.col("h1").alias("rep"), "lead").distinct())
     discard(crowded)
     places = stored(lines.select("doc_id", "line", "h1", "h2"))
     discard(lines)
-    reclaim(spark)
     def near(x: str, y: str):
         """Whether numbers of words and parities leave the edit similarity possible: an exact bound.
 
@@ -321,7 +318,6 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         both = pairs.join(one.select(F.col("rep").alias("b"), F.col("content").alias("tb")), "b").join(one.select(F.col("rep").alias("a"), F.col("content").alias("ta")), "a")
         out = stored(both.select("a", "b", "ta", "tb").mapInPandas(_confirm(similarity), "a long, b long"))
         discard(content)
-        reclaim(spark)
         return out
 
     stars = members.filter("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
@@ -347,7 +343,6 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     owned = stored(grouped.join(heads, "comp").select("h1", "h2", "comp", "head"))
     for done in (members, stars, across, links, reps):
         discard(done)
-    reclaim(spark)
     gone = places.join(owned.hint("shuffle_hash"), ["h1", "h2"]).filter(F.struct("doc_id", "line") != F.col("head"))
     return gone.select("doc_id", "line", "comp")
 
@@ -358,7 +353,6 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
     Columns of any other names stay as they are. Null texts stay null, rows without doc_id are left alone.
     """
     gone = stored(repeats(docs, **how).groupBy(F.col("doc_id").alias("_mq_id")).agg(F.collect_set("line").alias("_mq_gone")))
-    reclaim(docs.sparkSession)
     packed = docs.select(F.col("doc_id").cast("long").alias("_mq_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_mq_row"), F.col("text").alias("_mq_text"))
     slim = packed.join(gone.hint("shuffle_hash"), "_mq_id", "left")
     hit = F.col("_mq_gone").isNotNull() & F.col("_mq_text").isNotNull()

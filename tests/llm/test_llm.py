@@ -577,6 +577,31 @@ def test_pipeline_stages(spark):
     assert p.run(spark, d).count() == seen[5]
 
 
+def test_pipeline_stages_do_what_their_operators_say(spark):
+    import corpus_pipeline as p
+
+    stages, rng = dict(p.STAGES), random.Random(8)
+    base = [" ".join("".join(rng.choices("abcdefghijklmno", k=5)) for _ in range(90)) for _ in range(8)]
+    near = base[0].split()
+    near[45] = "changed"
+    texts = [base[0], " ".join(near), base[1] + "\n" + base[2], base[2] + "\n" + base[3], "too short", None, "", base[4], base[4]] + base[5:]
+    docs, labels = docs_of(spark, texts), "/root/testdata/sf0.001"
+    good = stages["quality rules"](spark, docs, labels)
+    assert {r["doc_id"] for r in good.collect()} <= set(range(len(texts))) - {4, 5, 6}
+    lines = {r["doc_id"]: r["text"] for r in stages["line dedup"](spark, docs, "").collect()}
+    assert lines[0] == base[0] and 1 not in lines and lines[3] == base[3] and 8 not in lines and lines[5] is None and lines[6] == ""
+    first = {r["doc_id"] for r in stages["near-duplicates"](spark, docs, "").collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t and t.split() else set() for t in texts]
+    linked = {j for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert first == set(range(len(texts))) - linked
+    taken = Counter(r["doc_id"] for r in stages["mixing"](spark, docs, "").collect())
+    assert taken == {r["doc_id"]: r["copies"] for r in mixing.report(docs).collect() if r["copies"]}
+    nothing = docs.limit(0)
+    for name in ("quality rules", "line dedup", "near-duplicates", "mixing"):
+        out = stages[name](spark, nothing, labels)
+        assert out.columns == docs.columns and out.count() == 0
+
+
 @needs_vocabulary
 def test_pipeline_decodes_what_it_encodes(spark):
     import corpus_pipeline as p
