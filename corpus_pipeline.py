@@ -3,17 +3,17 @@
 ``STAGES`` lists (name, function) in order; each takes (spark, docs, sf_dir) and gives a DataFrame that
 is written as Parquet and read again as the next one's docs. All but the last give the columns of
 documents. Learned rules, drawn copies and token ids have no SQL, so ORACLE_SQL is None; the tests hold
-each stage against brute force.
+each stage against what its operator gives, and the operators against brute force. Null texts hold no word: the quality
+rules reject them. Repeated rows are judged alike, and one of them is left after the near-duplicates. An empty
+table goes through all stages.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mosaiq.llm import line_dedup, minhash, mixing, pieces, quality_rules
-from mosaiq.llm.common import read, shared_dir
+from mosaiq.llm.common import read, stored
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
-        path = f"{shared_dir(spark)}/mosaiq/stage-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(out)
     return docs
 
 
