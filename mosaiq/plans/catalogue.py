@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from mosaiq.plans import footprints, geometry, imaging, naming, pictures, relational, tallies  # noqa: F401  they register on import
+    from mosaiq.plans import footprints, geometry, imaging, labelled, naming, pictures, relational, tallies  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
