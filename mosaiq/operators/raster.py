@@ -45,6 +45,25 @@ def match_levels(source: DataFrame, reference: DataFrame, v: str = "v") -> DataF
     return found.select("v", F.coalesce("matched", F.lit(255)).alias("matched"))
 
 
+def mode_shares(pixels: DataFrame, keys: list[str], v: str, most: int = 5) -> DataFrame:
+    """(keys, v, n, share): the commonest values of each group with their share of its pixels; ties to the smaller value."""
+    n = pixels.groupBy(*keys, v).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*keys)
+    ranked = n.withColumn("share", F.col("n") / F.sum("n").over(by)).withColumn("_rn", F.row_number().over(by.orderBy(F.col("n").desc(), v)))
+    return ranked.filter(F.col("_rn") <= most).drop("_rn")
+
+
+def border(row: Column, col: Column, height: Column, width: Column, share: float = 0.02) -> Column:
+    """Whether a pixel lies in the outer share of rows or columns, one at least."""
+    k, m = F.greatest(F.lit(1), (height * share).cast("int")), F.greatest(F.lit(1), (width * share).cast("int"))
+    return (row < k) | (row >= height - k) | (col < m) | (col >= width - m)
+
+
+def fill_candidate(shares: DataFrame, keys: list[str], v: str, least: float = 0.5) -> DataFrame:
+    """(keys, fill): the value that holds at least half of a border, if one does."""
+    return shares.filter(F.col("share") >= least).groupBy(*keys).agg(F.max_by(v, "share").alias("fill"))
+
+
 def tile_starts(extent: Column, size: Column, stride: Column) -> Column:
     """0, stride, … up to extent - size, which is always the last; one tile for a small extent."""
     last = extent - size

@@ -127,12 +127,12 @@ def _pca(spark, d):
     return e.select("vec_id", F.round(dot - shift, 6).alias("pc1"), F.lit(round(share, 6)).alias("share"))
 
 
-@query("mim_argmax_recode", "SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS mim, CAST((list_position(v, list_max(v)) - 1 - label + 12) % 6 AS INT) AS recoded FROM (SELECT vec_id, label, embedding[1:6] AS v FROM embeddings)")
+@query("mim_argmax_recode", "SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS mim, CAST((list_position(v, list_max(v)) - 1 - label % len(v) + len(v)) % len(v) AS INT) AS recoded FROM (SELECT vec_id, label, embedding AS v FROM embeddings)")
 def _mim(spark, d):
-    """Strongest of six orientations, and its number once the frame is turned by the row's label."""
-    v = F.slice("embedding", 1, 6)
+    """Strongest of all orientations, and its number once the frame is turned by the row's label."""
+    v = F.col("embedding")
     mim = (F.array_position(v, F.array_max(v)) - 1).cast("int")
-    return table(spark, d, "embeddings").select("vec_id", mim.alias("mim"), F.pmod(mim - F.col("label"), F.lit(6)).cast("int").alias("recoded"))
+    return table(spark, d, "embeddings").select("vec_id", mim.alias("mim"), F.pmod(mim - F.col("label"), F.size(v)).cast("int").alias("recoded"))
 
 
 @query(

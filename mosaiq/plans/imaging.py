@@ -143,11 +143,11 @@ def _match(spark, d):
 @query(
     "tile_plan",
     """
-WITH p AS (SELECT p_partkey, p_size * 20 AS h, p_size * 13 AS w FROM part WHERE p_partkey <= 200), s AS (SELECT p_partkey, h, w, CASE WHEN h <= 256 THEN [0] ELSE list_distinct(list_concat(range(0, h - 256 + 1, 192), [h - 256])) END AS rs, CASE WHEN w <= 256 THEN [0] ELSE list_distinct(list_concat(range(0, w - 256 + 1, 192), [w - 256])) END AS cs FROM p)
+WITH p AS (SELECT p_partkey, p_size * 20 AS h, p_size * 13 AS w FROM part), s AS (SELECT p_partkey, h, w, CASE WHEN h <= 256 THEN [0] ELSE list_distinct(list_concat(range(0, h - 256 + 1, 192), [h - 256])) END AS rs, CASE WHEN w <= 256 THEN [0] ELSE list_distinct(list_concat(range(0, w - 256 + 1, 192), [w - 256])) END AS cs FROM p)
 SELECT p_partkey, CAST(r AS INT) AS row_off, CAST(c AS INT) AS col_off, least(256, h) AS height, least(256, w) AS width FROM (SELECT p_partkey, h, w, cs, unnest(rs) AS r FROM s) x, unnest(cs) t(c)""",
 )
 def _tiles(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 200").select("p_partkey", (F.col("p_size") * 20).alias("h"), (F.col("p_size") * 13).alias("w"))
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 20).alias("h"), (F.col("p_size") * 13).alias("w"))
     return R.plan_tiles(p, "p_partkey", "h", "w", 256).select("p_partkey", "row_off", "col_off", "height", "width")
 
 
@@ -278,11 +278,15 @@ def _rss(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(F.sqrt(known * known + rest), 6).alias("total_sigma"), F.round(F.sqrt(F.coalesce(known * known, F.lit(0.0)) + rest), 6).alias("lower_bound"))
 
 
-@query("border_mode_share", "SELECT l_returnflag AS img, v, n, round(CAST(n AS DOUBLE) / total, 8) AS share FROM (SELECT l_returnflag, l_quantity AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag) AS total, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_quantity) AS rn FROM lineitem WHERE l_linenumber IN (1, 7) GROUP BY 1, 2) WHERE rn <= 5")
+@query(
+    "border_mode_share",
+    """
+SELECT l_returnflag AS img, border, v, n, round(CAST(n AS DOUBLE) / total, 8) AS share FROM (SELECT l_returnflag, l_linenumber IN (1, 7) AS border, l_quantity AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag, l_linenumber IN (1, 7)) AS total,
+ row_number() OVER (PARTITION BY l_returnflag, l_linenumber IN (1, 7) ORDER BY count(*) DESC, l_quantity) AS rn FROM lineitem GROUP BY 1, 2, 3) WHERE rn <= 5""",
+)
 def _border(spark, d):
-    n = table(spark, d, "lineitem").filter(F.col("l_linenumber").isin(1, 7)).groupBy(F.col("l_returnflag").alias("img"), F.col("l_quantity").alias("v")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("img")
-    return n.select("img", "v", "n", F.round(F.col("n") / F.sum("n").over(by), 8).alias("share"), F.row_number().over(by.orderBy(F.col("n").desc(), "v")).alias("rn")).filter("rn <= 5").drop("rn")
+    pixels = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("img"), F.col("l_linenumber").isin(1, 7).alias("border"), F.col("l_quantity").alias("v"))
+    return R.mode_shares(pixels, ["img", "border"], "v", 5).withColumn("share", F.round("share", 8))
 
 
 @query("grid_assembly", "SELECT r, c, min_by(l_quantity, l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS first_v, count(*) - 1 AS n_duplicates FROM (SELECT CAST(l_orderkey % 50 AS INT) AS r, l_linenumber AS c, * FROM lineitem) GROUP BY 1, 2")

@@ -46,13 +46,13 @@ def _dedup(spark, d):
 @query(
     "verify_outer_classify",
     """
-WITH a AS (SELECT o_orderkey AS k, round(o_totalprice) AS s FROM orders), b AS (SELECT l_orderkey AS k, round(sum(l_extendedprice)) AS s FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1)
-SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.k IS NULL THEN 'MISSING' WHEN a.k IS NULL THEN 'UNRECORDED' WHEN abs(a.s - b.s) > 1000 THEN 'SIZE_MISMATCH' ELSE 'OK' END AS status
- FROM (SELECT * FROM a WHERE k % 7 <> 0) a FULL JOIN b ON a.k = b.k) GROUP BY status""",
+WITH a AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, round(o_totalprice) AS s FROM orders), b AS (SELECT l_orderkey AS k, round(sum(l_extendedprice)) AS s FROM lineitem GROUP BY 1)
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN b.k IS NULL THEN 'MISSING' WHEN a.k IS NULL THEN 'UNRECORDED' WHEN abs(a.s - b.s) > 1000 THEN 'SIZE_MISMATCH' ELSE 'OK' END AS status FROM a FULL JOIN b ON a.k = b.k) GROUP BY status""",
 )
 def _verify(spark, d):
-    a = table(spark, d, "orders").filter(F.col("o_orderkey") % 7 != 0).select(F.col("o_orderkey").alias("k"), F.round("o_totalprice").alias("s"))
-    b = table(spark, d, "lineitem").filter(F.col("l_orderkey") % 11 != 0).groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice")).alias("s"))
+    key = F.col("o_orderkey")
+    a = table(spark, d, "orders").select(F.when(key % 7 == 0, -key).otherwise(key).alias("k"), F.round("o_totalprice").alias("s"))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice")).alias("s"))
     return verify(a, b, "k", "s", tolerance=1000).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -193,9 +193,9 @@ def _ablation(spark, d):
     return every.select(name.alias("config"), sum(F.col(c).cast("int") for c in "abc").alias("n_steps"))
 
 
-@query("pair_id_clean", "SELECT doc_id, regexp_replace(lower(source || '__' || lang || ' ' || left(text, 24)), '[^a-z0-9_]+', '-', 'g') AS pair_id FROM documents")
+@query("pair_id_clean", "SELECT doc_id, regexp_replace(lower(source || '__' || lang || ' ' || text), '[^a-z0-9_]+', '-', 'g') AS pair_id FROM documents")
 def _pair_id(spark, d):
-    raw = F.lower(F.concat(F.col("source"), F.lit("__"), F.col("lang"), F.lit(" "), F.left(F.col("text"), F.lit(24))))
+    raw = F.lower(F.concat(F.col("source"), F.lit("__"), F.col("lang"), F.lit(" "), F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(raw, "[^a-z0-9_]+", "-").alias("pair_id"))
 
 
