@@ -202,6 +202,10 @@ def overlaps(a: DataFrame, b: DataFrame | None = None, step: float = 7.5) -> Dat
     pole = F.when(polar, fp.pole_of(x, y))
     far = F.greatest(fp.most_colatitude(x, pole), fp.most_colatitude(y, pole)) > fp.POLAR_MOST_COLATITUDE
     known = F.when(polar & (fp.cap_gap_deg(fp.cap(x), fp.cap(y)) > 0), "DISJOINT").when(polar & far, "POLAR_EXTENT_UNSUPPORTED")
+    # boxes in one longitude convention that lie apart need no clipping
+    p, q = fp.bounds(fp.rewrapped(x, F.get(x, F.lit(0))["lon"])), fp.bounds(fp.rewrapped(y, F.get(x, F.lit(0))["lon"]))
+    apart = F.greatest(F.greatest(p["min_lat"], q["min_lat"]) - F.least(p["max_lat"], q["max_lat"]), F.greatest(p["min_lon"], q["min_lon"]) - F.least(p["max_lon"], q["max_lon"])) > 1e-9
+    known = F.coalesce(known, F.when(~polar & apart, "DISJOINT"))
     ready = both.select("id_a", "id_b", "ring_a", "ring_b", pole.alias("pole"), known.alias("known"))
     kind = a.schema["id"].dataType.simpleString()
     met = ready.mapInPandas(_clipped, f"id_a {kind}, id_b {b.schema['id'].dataType.simpleString()}, {RESULT}")
