@@ -29,11 +29,20 @@ def lons(ring: Column) -> Column:
     return F.transform(ring, lambda p: p["lon"])
 
 
+def _let(value: Column, made) -> Column:
+    """``made`` of a value that is worked out once, however often ``made`` uses it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def bounds(ring: Column) -> Column:
     """struct(min_lat, max_lat, min_lon, max_lon); null for an empty ring."""
-    lat, lon = lats(ring), lons(ring)
-    box = F.struct(F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"), F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"))
-    return F.when(F.size(ring) > 0, box)
+
+    def box(r):
+        lat, lon = lats(r), lons(r)
+        made = F.struct(F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"), F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"))
+        return F.when(F.size(r) > 0, made)
+
+    return _let(ring, box)
 
 
 def is_polar(ring: Column) -> Column:
@@ -91,10 +100,12 @@ def rewrapped(ring: Column, reference: Column) -> Column:
         last = F.coalesce(F.try_element_at(acc, F.lit(-1)), first)
         return F.concat(acc, F.array(last + lon_to_180(lon - last)))
 
-    free = F.aggregate(lons(ring), F.array().cast("array<double>"), step)
-    mean = F.aggregate(free, F.lit(0.0), lambda s, x: s + x) / F.size(free)
-    shift = 360.0 * F.bround((reference - lon_to_180(reference - mean) - mean) / 360.0)
-    return F.transform(ring, lambda p, i: F.struct(p["lat"].alias("lat"), (F.get(free, i) + shift).alias("lon")))
+    def moved(free):
+        mean = F.aggregate(free, F.lit(0.0), lambda s, x: s + x) / F.size(free)
+        shift = _let(mean, lambda m: 360.0 * F.bround((reference - lon_to_180(reference - m) - m) / 360.0))
+        return _let(shift, lambda by: F.transform(ring, lambda p, i: F.struct(p["lat"].alias("lat"), (F.get(free, i) + by).alias("lon"))))
+
+    return _let(F.aggregate(lons(ring), F.array().cast("array<double>"), step), moved)
 
 
 def relon(lon: Column, reference: Column) -> Column:
@@ -115,17 +126,21 @@ def angle_deg(u: Column, v: Column) -> Column:
 
 def cap(ring: Column) -> Column:
     """struct(x, y, z, radius): the cap around the mean of the vertices that holds all; the sphere if they cancel out."""
-    units = F.transform(ring, lambda p: unit(p["lat"], p["lon"]))
+    def around(units):
+        def along(axis):
+            return F.aggregate(units, F.lit(0.0), lambda s, u: s + u[axis])
+
+        total = F.struct(*[along(k).alias(k) for k in "xyz"])
+
+        def held(t):
+            norm = F.sqrt(t["x"] * t["x"] + t["y"] * t["y"] + t["z"] * t["z"])
+            centre = F.struct(*[(t[k] / norm).alias(k) for k in "xyz"])
+            made = _let(centre, lambda c: F.struct(*[c[k].alias(k) for k in "xyz"], F.array_max(F.transform(units, lambda u: angle_deg(c, u))).alias("radius")))
+            return F.when(norm > 0, made).otherwise(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), F.lit(180.0).alias("radius")))
 
-    def along(axis):
-        return F.aggregate(units, F.lit(0.0), lambda s, u: s + u[axis])
+        return _let(total, held)
 
-    total = [along(k) for k in "xyz"]
-    norm = F.sqrt(total[0] * total[0] + total[1] * total[1] + total[2] * total[2])
-    centre = F.struct(*[(t / norm).alias(k) for t, k in zip(total, "xyz")])
-    radius = F.array_max(F.transform(units, lambda u: angle_deg(centre, u)))
-    made = F.struct(centre["x"].alias("x"), centre["y"].alias("y"), centre["z"].alias("z"), radius.alias("radius"))
-    return F.when(norm > 0, made).otherwise(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), F.lit(180.0).alias("radius")))
+    return _let(F.transform(ring, lambda p: unit(p["lat"], p["lon"])), around)
 
 
 def cap_gap_deg(a: Column, b: Column) -> Column:

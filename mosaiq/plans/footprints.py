@@ -33,8 +33,8 @@ FROM b x JOIN b y ON x.id < y.id AND least(x.lat + x.h, y.lat + y.h) - greatest(
 )
 def _overlaps(spark, d):
     a = _boxes(spark, d).select("id", F.col("id").cast("string").alias("product_id"), _ring().alias("ring"), F.lit(False).alias("from_box"))
-    found = overlaps(a).filter(F.col("status") == "OK").select("id_a", "id_b", fp.bounds(F.flatten("rings")).alias("b"))
-    return found.select("id_a", "id_b", F.round(F.col("b.max_lat") - F.col("b.min_lat"), 6).alias("height"), F.round(F.col("b.max_lon") - F.col("b.min_lon"), 6).alias("width"))
+    found = overlaps(a).filter(F.col("status") == "OK")
+    return found.select("id_a", "id_b", F.round(F.col("extent.max_lat") - F.col("extent.min_lat"), 6).alias("height"), F.round(F.col("extent.max_lon") - F.col("extent.min_lon"), 6).alias("width"))
 
 
 @query(

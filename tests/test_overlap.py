@@ -78,6 +78,36 @@ def test_overlaps_against_all_pairs_clipped(spark):
     assert all(found[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_boxes_meet_without_the_kernel_as_in_it(spark):
+    rng = np.random.default_rng(7)
+    a = [box(rng.integers(-70, 70), rng.integers(-180, 190), rng.integers(1, 8), rng.integers(1, 90)) for _ in range(90)]
+    a += [[(x, y - 360 if y > 180 else y) for x, y in box(rng.integers(-9, 9), rng.integers(150, 180), 5, rng.integers(1, 30))] for _ in range(20)]
+    a = [[(float(x), float(y)) for x, y in r] for r in a if not any(abs(u[1] - v[1]) > 180 for u in r for v in r)]
+    a += [[(x + 1e-10, y) for x, y in a[0]], [(x, y + 360 if y < 0 else y - 360) for x, y in a[1]], a[2][::-1]]
+    df = overlap.overlaps(frame(spark, a))
+    assert "MapInPandas" not in df._jdf.queryExecution().toString()
+    rows = df.collect()
+    got = {(r["id_a"], r["id_b"]): r for r in rows}
+    assert len(rows) == len(got)
+    n = {"OK": 0, "TOUCHING_ONLY": 0, "DISJOINT": 0}
+    for i, x in enumerate(a):
+        for j in range(i + 1, len(a)):
+            u, v = np.array(x), np.array(a[j])
+            v[:, 1] += 360 * round((u[:, 1].mean() - v[:, 1].mean()) / 360)
+            want, area, rings = overlap.meet(u, overlap._rewrap(v, u[:, 1].mean()), None) if abs(u[0, 1] - v[:, 1].mean()) < 180 else (None, 0, [])
+            found = got.get((i, j))
+            if want is None:
+                continue
+            assert (found["status"] if found else "DISJOINT") == want, (x, a[j])
+            n[want] += 1
+            if want == "OK":
+                assert found["area_m2"] == pytest.approx(area, rel=1e-9)
+                e, p = found["extent"], np.concatenate(rings)
+                assert (e["max_lat"] - e["min_lat"], e["max_lon"] - e["min_lon"]) == pytest.approx(tuple(np.ptp(p, axis=0)))
+                assert {(round(p["lat"], 6), round((p["lon"] + 720) % 360, 6)) for p in found["rings"][0]} == {(round(p, 6), round((q + 720) % 360, 6)) for p, q in rings[0]}
+    assert min(n.values()) > 5
+
+
 def test_sphere_functions(spark):
     cap = [(80.0, k) for k in range(0, 360)]
     area = one(spark, fp.great_circle_area_m2(ring(cap)))[0]
