@@ -88,14 +88,33 @@ class Contexts:
         return ids, k, rows.astype(np.uint16)
 
 
+def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of ``x``; every index lies in range, so that nothing is clipped: the mode only spares the check."""
+    return np.take(x, at, axis=0, mode="clip")
+
+
 def _logits(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
-    z += w[rows[:, 1]]
-    z += w[rows[:, 2]]
+    one, two, three = np.ascontiguousarray(rows.T).astype(np.intp)
+    z = _taken(w, one)
+    z += _taken(w, two)
+    z += _taken(w, three)
     z += bias
     return z
 
 
+def run_sums(x: np.ndarray, at: np.ndarray, starts: np.ndarray, counts: np.ndarray, long: int = 16) -> np.ndarray:
+    """Sums of the rows x[at] by runs of ``at``: of short runs the first, the second, ... rows of all at once, long ones each by itself."""
+    out = _taken(x, at[starts])
+    for i in np.flatnonzero(counts > long).tolist():
+        _taken(x, at[starts[i] : starts[i] + counts[i]]).sum(axis=0, out=out[i])
+    left, nth = np.flatnonzero((counts > 1) & (counts <= long)), 1
+    while len(left):
+        out[left] += _taken(x, at[starts[left] + nth])
+        nth += 1
+        left = left[counts[left] > nth]
+    return out
+
+
 def _exp(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials by class, and their sums; shifted by each row's largest logit only where some would leave the range of floats."""
     z = _logits(w, bias, rows)
@@ -159,8 +178,8 @@ def _updates(start: tuple[np.ndarray, np.ndarray, dict], rate: float):
                 at = flat[order].astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 touched = at[starts]
-                g = np.add.reduceat(miss[order // 3], starts, axis=0)
                 counts = np.diff(np.append(starts, len(at)))
+                g = run_sums(miss, order // 3, starts, counts)
                 g /= np.sqrt(counts)[:, None]
                 square[touched] += (g * g).mean(axis=1)
                 w[touched] -= (rate / np.sqrt(square[touched]))[:, None] * g

@@ -654,3 +654,13 @@ def test_log_probabilities_hold_at_any_logits():
         want = z[np.arange(40), k] - np.log(np.exp(z).sum(axis=1))
         assert np.allclose(language_model.log_probability(w, bias, rows, k) * np.log(10), np.maximum(want, np.log(1e-37)), atol=1e-3, rtol=1e-3) or scale == 40
         assert np.allclose(language_model.probabilities(w, bias, rows).sum(axis=1), 1, atol=1e-5)
+
+
+def test_lm_run_sums_are_those_of_a_loop():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)).astype(np.float32)
+    counts = np.array([1, 2, 16, 17, 200, 1, 3, 40])
+    starts, at = np.cumsum(counts) - counts, rng.integers(0, 300, counts.sum())
+    want = [sum(x[j].astype(float) for j in at[s : s + c]) for s, c in zip(starts, counts)]
+    assert np.allclose(language_model.run_sums(x, at, starts, counts), want, atol=1e-4)
+    assert language_model.run_sums(x, at[:0], starts[:0], counts[:0]).shape == (0, 5)
