@@ -37,7 +37,7 @@ def overlaps(spark, a) -> DataFrame:
     corners = [(F.col(f"corner{i}_lat"), F.col(f"corner{i}_lon")) for i in range(1, 5)]
     made = fp.ring_of(corners, F.lit(None).cast("array<struct<lat:double,lon:double>>"), tuple(F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")))
     rows = m.select(F.col("label_path").alias("id"), "product_id", made["ring"].alias("ring"), F.coalesce(made["from_box"], F.lit(False)).alias("from_box"))
-    return overlap.usable(overlap.overlaps(rows), a.fraction).drop("rings")
+    return overlap.usable(overlap.overlaps(rows), a.fraction).drop("rings", "extent")
 
 
 def preprocess(spark, a) -> DataFrame:
