@@ -285,6 +285,78 @@ def test_parities_flip_two_bits_an_edit_at_most():
         assert flips <= 2 * slow_edit(x, y)
 
 
+def test_within_is_exact():
+    rng = random.Random(14)
+    for _ in range(1500):
+        x = [rng.choice("abcdef") for _ in range(rng.randint(0, 14))]
+        y = list(x)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"], ["a", "b"]])
+        most = rng.randint(0, 6)
+        assert line_dedup.within(x, y, most) == (slow_edit(x, y) <= most)
+
+
+def test_lines_are_normalised_as_their_words_are():
+    text = " A  b\t\x0bC- 12 \r\n\n - \nx -- y\x0c. z \u00a0\u2028w\n!"
+    assert line_dedup.normal_lines(text) == [b" ".join(line_dedup.normal_words(x.encode())) for x in text.split("\n")]
+    assert line_dedup.normal_lines(None) == [b""]
+
+
+def test_wide_parities_flip_two_bits_an_edit_at_most_and_tell_long_lines_apart():
+    rng = random.Random(5)
+    for n in (129, 150, 255, 257, 500, 520, 1030, 3000):
+        x = [f"w{int(900 * rng.random() ** 2)}" for _ in range(n)]
+        y, edits = list(x), rng.randint(1, n // 5)
+        for _ in range(edits):
+            at = rng.randrange(len(y))
+            y[at : at + 1] = rng.choice([[], ["new", y[at]], ["new"]])
+        z = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        h = line_dedup.word_hashes(" ".join(x + y + z).encode())
+        long, found = line_dedup.wide_parities(h, np.array([0, n, n + len(y)]))
+        found = dict(zip(long.tolist(), found))
+
+        def flips(a, b):
+            a, b = sorted((a, b), key=len)
+            while len(b) > len(a):
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            return sum((int(u) & (2**64 - 1)).bit_count() for u in a ^ b)
+
+        assert 0 in found and 2 in found and len(found[0]) * 64 >= 4 * n
+        if 1 in found:
+            assert flips(found[0], found[1]) <= 2 * edits
+        assert flips(found[0], found[2]) > 2 * (n // 5)
+
+
+def test_line_dedup_verifies_few_pairs_of_long_lines_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = words(60)
+    lines = [f"{words(n // 2)} {passage} {words(n - n // 2)}" for n in (340,) * 60 + (1940,) * 60]
+    near = lines[70].split()
+    for i in range(0, 1900, 9):
+        near[i] = "other"
+    verified, before = spark.sparkContext.accumulator(0), line_dedup._confirm
+
+    def counted(least):
+        run = before(least)
+
+        def each(batches):
+            def passed():
+                for pdf in batches:
+                    verified.add(len(pdf))
+                    yield pdf
+
+            return run(passed())
+
+        return each
+
+    monkeypatch.setattr(line_dedup, "_confirm", counted)
+    got = line_dedup.repeats(docs_of(spark, ["\n".join(lines[:60]), "\n".join([*lines[60:], " ".join(near)])])).collect()
+    assert [(r["doc_id"], r["line"]) for r in got] == [(1, 60)]
+    assert verified.value <= 5 * len(lines)
+
+
 def test_line_dedup_finds_nearly_all_lines_of_edit_similarity_08(spark):
     rng = random.Random(12)
     lines = []
