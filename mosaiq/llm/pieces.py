@@ -3,8 +3,8 @@
 The vocabulary is the file of a public tokenizer, read from its wire format; nothing is trained. A text
 gets the white-space marker for every space and one before it. No piece holds a marker after another
 character, so the best segmentation of a text is that of its units (a run of markers with the word
-behind it), and each distinct unit of a batch is segmented once: all units of a batch advance through
-the trie together, position by position.
+behind it), and each distinct unit is segmented once while it is remembered: all places of a block of units
+walk through the trie together, the best ways advance position by position, and all are read back together.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
 _LONG = 96
+#: Units that advance together.
+_BLOCK = 8192
+#: Bytes of text encoded at once (a longer text is by itself).
+_CHUNK = 1 << 21
 
 
 def _fields(data: bytes):
@@ -152,71 +157,119 @@ class Tokenizer:
         by_byte = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == BYTE}
         self.byte_ids = np.array([by_byte.get(b, -1) for b in range(256)]) if len(by_byte) == 256 else None
         self.longest = max((len(v.pieces[i]) for i in matched), default=1)
-        self._lists = None
+        self._lists = self._surfaces = None
         text = [b if k in (NORMAL, USER) else b"" for b, k in zip(v.pieces, v.kinds)]
         for b, i in by_byte.items():
             text[i] = bytes([b])
         self.surface = text
 
     def viterbi(self, units: list[bytes]) -> list[list[int]]:
-        """Ids of each unit; units of up to _LONG bytes advance together, longer ones one by one."""
-        out: list = [None] * len(units)
-        short = [i for i, u in enumerate(units) if len(u) <= _LONG]
-        for i, u in enumerate(units):
-            if len(u) > _LONG:
-                out[i] = self._one(u)
-        short.sort(key=lambda i: len(units[i]))
-        for lo in range(0, len(short), 8192):
-            part = short[lo : lo + 8192]
-            for i, ids in zip(part, self._many([units[i] for i in part])):
-                out[i] = ids
-        return out
-
-    def _many(self, units: list[bytes]) -> list[list[int]]:
-        n, width = len(units), max(map(len, units), default=0)
-        text = np.zeros((n, width), np.uint8)
-        size = np.array([len(u) for u in units])
-        for i, u in enumerate(units):
-            text[i, : len(u)] = np.frombuffer(u, np.uint8)
-        best = np.full((n, width + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((n, width + 1), np.int16), np.full((n, width + 1), -1, np.int32)
-        lead = (text & 0xC0) != 0x80
-        span = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
-        scores, trie = self.vocabulary.scores, self.trie
-        for s in range(width):
-            rows = np.flatnonzero((size > s) & lead[:, s] & np.isfinite(best[:, s]))
-            if not len(rows):
-                continue
-            start = best[rows, s]
-            # the unknown way first: it loses ties
-            end = np.minimum(s + span[rows, s], size[rows])
-            cost = start + self.unknown_score
-            better = cost > best[rows, end]
-            r, e = rows[better], end[better]
-            best[r, e], back[r, e], piece[r, e] = cost[better], s, -1
-            state = np.zeros(len(rows), np.int64)
-            for at in range(s, min(width, s + self.longest)):
-                live = at < size[rows]
-                rows, state, start = rows[live], state[live], start[live]
-                state = trie.step(state, text[rows, at])
-                live = state >= 0
-                rows, state, start = rows[live], state[live], start[live]
-                if not len(rows):
-                    break
-                ids = trie.value[state]
-                hit = np.flatnonzero(ids >= 0)
-                if len(hit):
-                    r, e = rows[hit], at + 1
-                    cost = start[hit] + scores[ids[hit]]
-                    better = cost > best[r, e]
-                    r = r[better]
-                    best[r, e], back[r, e], piece[r, e] = cost[better], s, ids[hit][better]
-        out = []
-        back_l, piece_l = back.tolist(), piece.tolist()
-        for i, u in enumerate(units):
-            out.append(self._read(u, back_l[i], piece_l[i]))
-        return out
+        """Ids of each unit."""
+        flat, sizes = self.segment(units)
+        ends = np.cumsum(sizes).tolist()
+        flat = flat.tolist()
+        return [flat[x:y] for x, y in zip([0, *ends], ends)]
+
+    def segment(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in a row, number of ids by unit); units of up to _LONG bytes advance together, longer ones one by one."""
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        long = length > _LONG
+        few = [u for u in units if len(u) <= _LONG] if long.any() else units
+        made = [self._many(few[lo : lo + _BLOCK]) for lo in range(0, len(few), _BLOCK)]
+        flat, sizes = (np.concatenate([x[i] for x in made]) if made else np.empty(0, np.int64) for i in (0, 1))
+        if not long.any():
+            return flat, sizes
+        ones = [self._one(units[i]) for i in np.flatnonzero(long).tolist()]
+        every = np.empty(len(units), np.int64)
+        every[~long], every[long] = sizes, [len(x) for x in ones]
+        of_long = np.repeat(long, every)
+        out = np.empty(len(of_long), np.int64)
+        out[~of_long], out[of_long] = flat, np.fromiter((i for x in ones for i in x), np.int64)
+        return out, every
+
+    def _many(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers. Places are those of the units in one row of bytes, each with an end behind it that no piece holds."""
+        n = len(units)
+        size = np.fromiter(map(len, units), np.int64, n)
+        first = np.cumsum(size + 1) - size - 1
+        end = first + size
+        text = np.frombuffer(b"\0".join(units) + b"\0", np.uint8).astype(np.int16)
+        text[end] = 256
+        depth = np.arange(len(text)) - np.repeat(first, size + 1)
+        begins = np.flatnonzero(((text & 0xC0) != 0x80) & (text < 256))
+        # all pieces that match somewhere: every place walks through the trie at once
+        start, state, at = begins, np.zeros(len(begins), np.int64), begins
+        starts, ends, found = [], [], []
+        while len(start):
+            state = self.trie.step(state, text[at])
+            live = np.flatnonzero(state >= 0)
+            start, state, at = start[live], state[live], at[live] + 1
+            ids = self.trie.value[state]
+            hit = np.flatnonzero(ids >= 0)
+            starts.append(start[hit])
+            ends.append(at[hit])
+            found.append(ids[hit])
+        s, e, ids = (np.concatenate([np.empty(0, np.int64), *x]) for x in (starts, ends, found))
+        # a character is unknown where no piece of its own is better anyway
+        c = text[begins]
+        span = np.where(c < 0x80, 1, np.where(c < 0xE0, 2, np.where(c < 0xF0, 3, 4)))
+        close = np.minimum(begins + span, np.repeat(end, size + 1)[begins])
+        own = np.zeros(len(text), np.int64)
+        own[begins] = close
+        scores = self.vocabulary.scores
+        sure = s[(own[s] == e) & (scores[ids] > self.unknown_score + 1)]
+        own[sure] = 0
+        open_ = np.flatnonzero(own[begins])
+        us, ue = begins[open_], close[open_]
+        # ways in the order of their starts within the units; the unknown one goes first and loses ties
+        order, u_order = np.argsort(depth[s].astype(np.uint8), kind="stable"), np.argsort(depth[us].astype(np.uint8), kind="stable")
+        s, e, ids, us, ue = s[order], e[order], ids[order], us[u_order], ue[u_order]
+        cost = scores[ids]
+        cuts, u_cuts = (np.append(0, np.cumsum(np.bincount(depth[x], minlength=_LONG))).tolist() for x in (s, us))
+        best, way = np.full(len(text), -np.inf), np.full(len(text), -1, np.int64)
+        best[first] = 0
+        for lo, hi, u_lo, u_hi in zip(cuts, cuts[1:], u_cuts, u_cuts[1:]):
+            if u_hi > u_lo:
+                reached, to = best[us[u_lo:u_hi]] + self.unknown_score, ue[u_lo:u_hi]
+                better = np.flatnonzero(reached > best[to])
+                to = to[better]
+                best[to], way[to] = reached[better], len(s) + u_lo + better
+            if hi > lo:
+                reached, to = best[s[lo:hi]] + cost[lo:hi], e[lo:hi]
+                better = np.flatnonzero(reached > best[to])
+                to = to[better]
+                best[to], way[to] = reached[better], lo + better
+        # units whose end no way reaches (bytes that are no text) are unknown as a whole
+        lost = np.flatnonzero((way[end] < 0) & (size > 0))
+        way[end[lost]] = len(s) + len(us) + np.arange(len(lost))
+        s, e = np.concatenate([s, us, first[lost]]), np.concatenate([e, ue, end[lost]])
+        ids = np.concatenate([ids, np.full(len(us) + len(lost), -1)])
+        # back from all ends at once
+        unit = np.flatnonzero(size)
+        at, taken, of, nth = end[unit], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(unit):
+            w = way[at]
+            taken.append(w)
+            of.append(unit)
+            nth.append(np.full(len(w), len(nth)))
+            at = s[w]
+            left = np.flatnonzero(at > first[unit])
+            unit, at = unit[left], at[left]
+        taken, of, nth = np.concatenate(taken), np.concatenate(of), np.concatenate(nth)
+        sizes = np.bincount(of, minlength=n)
+        ways = np.empty(len(taken), np.int64)
+        ways[np.cumsum(sizes)[of] - nth] = taken
+        out = ids[ways]
+        if self.byte_ids is None:
+            out[out < 0] = self.unknown
+        elif (out < 0).any():
+            wide = np.where(out < 0, e[ways] - s[ways], 1)
+            sizes = np.bincount(np.repeat(np.arange(n), sizes), weights=wide, minlength=n).astype(np.int64)
+            spelled = np.repeat(out < 0, wide)
+            place = np.repeat(s[ways] - (np.cumsum(wide) - wide), wide) + np.arange(len(spelled))
+            out = np.repeat(out, wide)
+            out[spelled] = self.byte_ids[text[place[spelled]]]
+        return out, sizes
 
     def _read(self, unit: bytes, back, piece) -> list[int]:
         parts, e = [], len(unit)
@@ -265,6 +318,19 @@ class Tokenizer:
         text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
+    def decode_rows(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The bytes that ``decode`` makes a text of, by row; row i has the ids from starts[i] on, up to starts[i + 1]."""
+        import pyarrow as pa
+
+        if self._surfaces is None:
+            self._surfaces = pa.array(self.surface, pa.large_binary())
+        made = self._surfaces.take(pa.array(ids))
+        _, at, data = made.buffers()
+        cuts = np.frombuffer(at, np.int64)[made.offset + starts].tolist() if len(ids) else [0] * len(starts)
+        data = memoryview(data or b"")
+        rows = [bytes(data[x:y]).replace(_MARK, b" ") for x, y in zip(cuts, cuts[1:])]
+        return [r[1:] if r[:1] == b" " else r for r in rows]
+
 
 @lru_cache(2)
 def tokenizer(path: str) -> Tokenizer:
@@ -273,16 +339,10 @@ def tokenizer(path: str) -> Tokenizer:
         return Tokenizer(Vocabulary.load(f.read()))
 
 
-def marked(text: str) -> bytes:
+def marked(text: str | bytes) -> bytes:
     """The marked form of a text. A marker that stands in the text itself reads back as a space."""
-    return (MARK + text.replace(" ", MARK)).encode("utf-8", "replace") if text else b""
-
-
-def units(text: str) -> list:
-    """Units of a text: bytes, or, where no two spaces meet, the words themselves, each behind one marker."""
-    if "  " in text or text[:1] == " " or MARK in text:
-        return _UNIT.findall(marked(text))
-    return text.split(" ")
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return _MARK + raw.replace(b" ", _MARK) if raw else b""
 
 
 class BatchEncoder:
@@ -290,58 +350,93 @@ class BatchEncoder:
 
     def __init__(self, tok: Tokenizer, limit: int = 600_000):
         self.tok, self.limit = tok, limit
-        self.number: dict = {}
-        self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, units) -> None:
-        new = [u for u in set(units) if u not in self.number]
-        if not new:
-            return
-        if len(self.number) + len(new) > self.limit and self.number:
-            self.number.clear()
-            self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-            new = list(set(units))
-        ids = self.tok.viterbi([u if isinstance(u, bytes) else (MARK + u).encode("utf-8", "replace") for u in new])
-        sizes = np.array([len(x) for x in ids], np.int64)
-        first = len(self.flat)
-        self.number |= {u: len(self.at) + k for k, u in enumerate(new)}
-        self.at = np.append(self.at, first + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.flat = np.append(self.flat, np.array([i for x in ids for i in x], np.int32))
-
-    def __call__(self, texts) -> list[np.ndarray]:
-        out = []
-        units_of = [units(t) if isinstance(t, str) and t else [] for t in texts]
-        for lo in range(0, len(units_of), 64):
-            part = units_of[lo : lo + 64]
-            self._learn([u for found in part for u in found])
-            get = self.number.__getitem__
-            for found in part:
-                k = np.fromiter(map(get, found), np.int64, len(found))
-                size = self.size[k]
-                total = int(size.sum())
-                where = np.repeat(self.at[k] - (np.cumsum(size) - size), size) + np.arange(total)
-                out.append(self.flat[where])
-        return out
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.at, self.size = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.n_flat = 0
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        """Numbers of distinct units; those not seen yet are segmented."""
+        number = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return number
+        if self.number and len(self.number) + len(missing) > self.limit:
+            self._clear()
+            missing = np.arange(len(units))
+        new = [units[i] for i in missing.tolist()]
+        ids, sizes = self.tok.segment(new)
+        n = len(self.number)
+        number[missing] = np.arange(n, n + len(new))
+        self.number.update(zip(new, range(n, n + len(new))))
+        self.at, self.size = _room(self.at, n, len(new)), _room(self.size, n, len(new))
+        self.at[n : n + len(new)], self.size[n : n + len(new)] = self.n_flat + np.cumsum(sizes) - sizes, sizes
+        self.flat = _room(self.flat, self.n_flat, len(ids))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.n_flat += len(ids)
+        return number
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end); ``texts``: an Arrow array of binary, without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.or_(pc.or_(pc.match_substring(texts, b"  "), pc.match_substring(texts, _MARK)), pc.or_(pc.starts_with(texts, b" "), pc.equal(pc.binary_length(texts), 0)))
+        odd = odd.to_numpy(zero_copy_only=False)
+        # where no two spaces meet, the units are the words between spaces, each behind one marker
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)) if odd.any() else texts, b" ")
+        words = plain.flatten().dictionary_encode()
+        sizes = np.empty(len(texts), np.int64)
+        sizes[~odd] = plain.value_lengths().to_numpy()
+        code, units = words.indices.to_numpy(), [_MARK + w for w in words.dictionary.to_pylist()]
+        if odd.any():
+            found = [_UNIT.findall(marked(t)) for t in texts.filter(pa.array(odd)).to_pylist()]
+            sizes[odd] = [len(f) for f in found]
+            place = {u: i for i, u in enumerate(units)}
+            others = np.array([place.setdefault(u, len(place)) for f in found for u in f], np.int64)
+            units, of_odd, plain_code = list(place), np.repeat(odd, sizes), code
+            code = np.empty(len(of_odd), np.int64)
+            code[~of_odd], code[of_odd] = plain_code, others
+        number = self._numbers(units)[code]
+        size = self.size[number]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(self.at[number] - (ends - size), size)
+        where += np.arange(total)
+        return self.flat[where], np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+
+
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x`` with room for ``more`` behind the used ones, at least doubled where it is too small."""
+    if used + more <= len(x):
+        return x
+    out = np.empty(max(2 * len(x), used + more), x.dtype)
+    out[:used] = x[:used]
+    return out
 
 
 def _encode(path: str, extra: bool):
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         tok = tokenizer(path)
         enc = BatchEncoder(tok)
         is_byte = tok.vocabulary.kinds == BYTE
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                ids = enc(part["text"])
-                out = part.drop(columns=["text"]).copy()
-                out["ids"] = ids
-                out["n_tokens"] = np.array([len(x) for x in ids], np.int64)
+        for batch in batches:
+            texts = batch.column("text").fill_null("").cast(pa.binary())
+            length = pc.binary_length(texts).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // _CHUNK, prepend=-1, append=-1)).tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = texts.slice(lo, hi - lo)
+                ids, at = enc(part)
+                columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(at.astype(np.int32), ids), "n_tokens": np.diff(at)}
                 if extra:
-                    out["n_byte_tokens"] = np.array([int(is_byte[x].sum()) for x in ids], np.int64)
-                    plain = [t.encode("utf-8", "replace").decode() if isinstance(t, str) else "" for t in part["text"]]
-                    out["round_trip"] = [tok.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, plain)]
-                yield out
+                    columns["n_byte_tokens"] = np.diff(np.searchsorted(np.flatnonzero(is_byte[ids]), at))
+                    columns["round_trip"] = [x == t.replace(_MARK, b" ") for x, t in zip(tok.decode_rows(ids, at), part.to_pylist())]
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -353,7 +448,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, check: bool = True) -> DataF
     round_trip says that decoding gives the text back (markers that stood in it as spaces).
     """
     schema = "doc_id long, ids array<int>, n_tokens long" + (", n_byte_tokens long, round_trip boolean" if check else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_typed(_encode(path, check)), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(path, check), schema)
 
 
 def _typed(run):

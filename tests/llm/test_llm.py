@@ -463,6 +463,39 @@ def test_viterbi_finds_the_best_score_and_round_trips(spark):
         assert abs(tok.vocabulary.scores[plain].sum() + unknown * tok.unknown_score - best_score(tok, u)) <= 1e-6 * abs(best_score(tok, u)) + 1e-6
 
 
+@needs_vocabulary
+def test_units_of_any_bytes_walk_the_trie_together():
+    rng = random.Random(15)
+    tok = pieces.tokenizer(pieces.VOCABULARY)
+    units = [b"", b"\x80", b"\x00", b"a\x00b"] + [bytes(rng.choice(b"the and ing\x80\xc3\xa9\xe6\xbc\xa2\xf0\xff\x00") for _ in range(rng.randint(1, 140))) for _ in range(600)]
+    flat, sizes = tok.segment(units)
+    at = np.append(0, np.cumsum(sizes))
+    assert [flat[x:y].tolist() for x, y in zip(at, at[1:])] == [tok._one(u) for u in units] == tok.viterbi(units)
+    assert [r.decode("utf-8", "replace") for r in tok.decode_rows(flat, at)] == [tok.decode(flat[x:y].tolist()) for x, y in zip(at, at[1:])]
+    walked, step = [], tok.trie.step
+    tok.trie.step = lambda state, byte: walked.append(len(state)) or step(state, byte)
+    try:
+        tok.segment([u for u in units if len(u) <= 96])
+    finally:
+        del tok.trie.step
+    assert len(walked) <= tok.longest + 1
+
+
+@needs_vocabulary
+def test_encoder_mixes_plain_and_odd_texts_and_forgets_units():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    tok = pieces.tokenizer(pieces.VOCABULARY)
+    texts = ["".join(rng.choice(["a", "the", "ing", " ", " ", "  ", "\n", "é", "▁", "\x00"]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    enc = pieces.BatchEncoder(tok, 40)
+    for lo in range(0, 400, 20):
+        ids, at = enc(pa.array([t.encode() for t in texts[lo : lo + 20]], pa.binary()))
+        want = [[i for u in pieces._UNIT.findall(pieces.marked(t)) for i in tok._one(u)] for t in texts[lo : lo + 20]]
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == want
+    assert len(enc.number) < 200
+
+
 def test_double_array_holds_exactly_its_keys():
     rng = random.Random(8)
     keys = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))) for _ in range(200)})
