@@ -29,6 +29,28 @@ def words(text) -> list[bytes]:
     return bytes_of(text).lower().split()
 
 
+def word_rows(texts):
+    """(words of all texts in a row, number of words by text) as ``words`` gives them; ``texts``: an Arrow array of strings, null as empty."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+    found, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.equal(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)  # what an empty text is split into
+    if empty.any():
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        found = found.filter(pc.not_equal(pc.binary_length(found), 0))
+    return found, sizes
+
+
+def chunks_of(texts, size: int):
+    """Ranges of rows of an Arrow array of texts whose texts begin within the same ``size`` bytes."""
+    import pyarrow.compute as pc
+
+    length = pc.binary_length(texts.fill_null("")).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // size, prepend=-1, append=-1)).tolist()
+    return zip(cuts, cuts[1:])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), vectorised."""
     with np.errstate(over="ignore"):

@@ -14,15 +14,16 @@ import zlib
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import bucket_of, most_frequent, stored, words
+from mosaiq.llm.common import bucket_of, chunks_of, most_frequent, stored, word_rows
 
 CLASSES, ROWS = 32, 1 << 14
 END = b"\n"  # no word holds white space
 _STEP = 8192
+#: Bytes of text taken apart at once (a longer text is by itself).
+_CHUNK = 1 << 21
 
 
 #: Classes of a single word each.
@@ -34,58 +35,59 @@ def class_of(word: bytes, own: dict[bytes, int]) -> int:
     return OWN + zlib.crc32(word[:3]) % (CLASSES - OWN) if found is None else found
 
 
-def tokens_of(text) -> list[bytes]:
-    out = words(text)
-    out.append(END)
+def classes_of(distinct, own: dict[bytes, int]) -> np.ndarray:
+    """``class_of`` of an Arrow array of words; the first bytes are hashed once each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = distinct.cast(pa.binary())
+    heads = pc.binary_slice(words, 0, 3).dictionary_encode()
+    crc = np.fromiter(map(zlib.crc32, heads.dictionary.to_pylist()), np.int64, len(heads.dictionary))
+    out = (OWN + crc % (CLASSES - OWN))[heads.indices.to_numpy()]
+    at = pc.index_in(words, pa.array(list(own), pa.binary())).fill_null(-1).to_numpy()
+    single = np.flatnonzero(at >= 0)
+    out[single] = np.array(list(own.values()), np.int64)[at[single]]
     return out
 
 
-class Contexts:
-    """Tokens of texts as classes and feature rows; hash, class and count of words seen lately are at hand (bounded)."""
-
-    def __init__(self, own: dict[bytes, int], counts: dict[bytes, int] | None = None, limit: int = 400_000):
-        import xxhash
-
-        self._hash, self._own, self._counts, self._limit = xxhash.xxh3_64_intdigest, own, counts or {}, limit
-        self._clear()
-
-    def _clear(self):
-        self.number: dict[bytes, int] = {}
-        self.hashes, self.kinds, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.number) > self._limit:
-            self._clear()
-        number = self.number
-        ids = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
-        missing = np.flatnonzero(ids < 0)
-        if len(missing):
-            new = list(dict.fromkeys(tokens[i] for i in missing.tolist()))
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            ids[missing] = [number[tokens[i]] for i in missing.tolist()]
-            self.hashes = np.append(self.hashes, np.fromiter(map(self._hash, new), np.uint64, len(new)))
-            self.kinds = np.append(self.kinds, np.fromiter((class_of(w, self._own) for w in new), np.int64, len(new)))
-            self.counts = np.append(self.counts, np.fromiter(map(self._counts.get, new, repeat(0)), np.int64, len(new)))
-        return ids
-
-    def __call__(self, tokens: list[bytes], first: np.ndarray):
-        """(numbers, classes, feature rows (n, 3)); ``first``: how far each token is from its text's start."""
-        ids = self.numbers(tokens)
-        h, k = self.hashes[ids], self.kinds[ids]
-        n = len(h)
-        one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        one[1:], two[2:] = h[:-1], h[:-2]
-        one[first < 1], two[first < 2] = np.uint64(1), np.uint64(2)
-        gram = np.zeros(n, np.int64)
-        for back in (1, 2, 3):
-            before = np.full(n, CLASSES, np.int64)
-            before[back:] = k[: max(0, n - back)]
-            before[first < back] = CLASSES
-            gram = gram * (CLASSES + 1) + before
-        shift = np.uint64(64 - ROWS.bit_length() + 1)
-        with np.errstate(over="ignore"):  # multiply and shift: the words' own hashes are well mixed
-            rows = np.stack([(one * np.uint64(0x9E3779B97F4A7C15)) >> shift, (two * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift, (gram.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> shift], axis=1)
-        return ids, k, rows.astype(np.uint16)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def coded(texts):
+    """(distinct words and the end as an Arrow array, number of each token in it, number of tokens by text)."""
+    import pyarrow as pa
+
+    found, sizes = word_rows(texts)
+    words = found.dictionary_encode()
+    sizes = sizes + 1
+    ends = np.cumsum(sizes) - 1
+    codes = np.full(int(sizes.sum()), len(words.dictionary))
+    inner = np.ones(len(codes), bool)
+    inner[ends] = False
+    codes[inner] = words.indices.to_numpy()
+    return pa.concat_arrays([words.dictionary, pa.array([END.decode()], words.dictionary.type)]), codes, sizes
+
+
+def context_rows(h: np.ndarray, k: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Feature rows (n, 3) of tokens by their hashes and classes; ``sizes``: tokens by text."""
+    n = len(h)
+    first = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    one[first < 1], two[first < 2] = np.uint64(1), np.uint64(2)
+    gram = np.zeros(n, np.int64)
+    for back in (1, 2, 3):
+        before = np.full(n, CLASSES, np.int64)
+        before[back:] = k[: max(0, n - back)]
+        before[first < back] = CLASSES
+        gram = gram * (CLASSES + 1) + before
+    shift = np.uint64(64 - ROWS.bit_length() + 1)
+    with np.errstate(over="ignore"):  # multiply and shift: the words' own hashes are well mixed
+        rows = np.stack([(one * np.uint64(0x9E3779B97F4A7C15)) >> shift, (two * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift, (gram.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> shift], axis=1)
+    return rows.astype(np.uint16)
 
 
 def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -139,37 +141,39 @@ def log_probability(w: np.ndarray, bias: np.ndarray, rows: np.ndarray, k: np.nda
     return np.log10(np.maximum(z[np.arange(len(k)), k].astype(float), 1e-37)) - np.log10(total.astype(float))
 
 
-def _chunks(batches, least: int):
-    """(texts' numbers of tokens, tokens, distance from the text's start) in pieces of at least ``least`` tokens, whole texts."""
-    sizes, toks = [], []
-    for pdf in batches:
-        for text in pdf["text"]:
-            t = tokens_of(text)
-            sizes.append(len(t))
-            toks += t
-            if len(toks) >= least:
-                yield _chunk(sizes, toks)
-                sizes, toks = [], []
-    if toks:
-        yield _chunk(sizes, toks)
-
+def _chunks(batches, own: dict[bytes, int], least: int):
+    """(hashes, classes, texts' numbers of tokens) in pieces of whole texts, each as short as ``least`` tokens allow."""
+    import pyarrow as pa
 
-def _chunk(sizes, toks):
-    n = np.array(sizes)
-    return n, toks, np.arange(len(toks)) - np.repeat(np.cumsum(n) - n, n)
+    h, k, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in chunks_of(texts, _CHUNK):
+            distinct, codes, sizes = coded(texts.slice(lo, hi - lo))
+            h = np.append(h, hashes_of(distinct.cast(pa.binary()).to_pylist())[codes])
+            k, n = np.append(k, classes_of(distinct, own)[codes]), np.append(n, sizes)
+            ends, a, i = np.cumsum(n), 0, 0
+            while (j := int(np.searchsorted(ends, a + least)) + 1) <= len(n):
+                yield h[a : ends[j - 1]], k[a : ends[j - 1]], n[i:j]
+                a, i = int(ends[j - 1]), j
+            h, k, n = h[a:], k[a:], n[i:]
+    if len(n):
+        yield h, k, n
 
 
 def _updates(start: tuple[np.ndarray, np.ndarray, dict], rate: float):
     """Gradient steps over a task's texts from the given weights; yields how far each touched row moved."""
 
     def run(batches):
+        import pyarrow as pa
+
         w0, bias0, own = start
         w, bias = w0.copy(), bias0.copy()
         square = np.full(ROWS, 1e-2, np.float32)
-        seen, n_all, ctx = np.zeros(ROWS, np.int64), 0, Contexts(own)
-        for _, toks, first in _chunks(batches, 4 * _STEP):
-            _, k_all, rows_all = ctx(toks, first)
-            for lo in range(0, len(toks), _STEP):
+        seen, n_all = np.zeros(ROWS, np.int64), 0
+        for h_all, k_all, sizes in _chunks(batches, own, 4 * _STEP):
+            rows_all = context_rows(h_all, k_all, sizes)
+            for lo in range(0, len(k_all), _STEP):
                 k, rows = k_all[lo : lo + _STEP], rows_all[lo : lo + _STEP]
                 miss = probabilities(w, bias, rows)
                 miss[np.arange(len(k)), k] -= 1
@@ -188,10 +192,8 @@ def _updates(start: tuple[np.ndarray, np.ndarray, dict], rate: float):
                 n_all += len(k)
         some = np.flatnonzero(seen)
         moved = np.concatenate([(w[some] - w0[some]).astype(float) * seen[some, None], ((bias - bias0).astype(float) * n_all)[None, :]])
-        out = pd.DataFrame(moved, columns=[f"d{i}" for i in range(CLASSES)])
-        out.insert(0, "weight", np.append(seen[some], n_all))
-        out.insert(0, "row", np.append(some, ROWS).astype(np.int32))
-        yield out
+        columns = {"row": np.append(some, ROWS).astype(np.int32), "weight": np.append(seen[some], n_all)}
+        yield pa.RecordBatch.from_pydict(columns | {f"d{i}": np.ascontiguousarray(moved[:, i]) for i in range(CLASSES)})
 
     return run
 
@@ -207,7 +209,7 @@ def train(docs: DataFrame, folds: list[list[int]], start: np.ndarray, own: dict[
     context = docs.sparkSession.sparkContext
     for part in folds:
         sent = context.broadcast((w, bias, own))
-        moved = docs.filter(F.col("fold").isin(part)).select("text").mapInPandas(lambda b, s=sent: _updates(s.value, rate)(b), schema)
+        moved = docs.filter(F.col("fold").isin(part)).select("text").mapInArrow(lambda b, s=sent: _updates(s.value, rate)(b), schema)
         total = moved.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).filter("weight > 0").toPandas().sort_values("row")
         step = (total[names].to_numpy() / total["weight"].to_numpy()[:, None]).astype(np.float32)
         rows = total["row"].to_numpy()
@@ -219,69 +221,55 @@ def train(docs: DataFrame, folds: list[list[int]], start: np.ndarray, own: dict[
 
 
 def _counts(batches):
-    """(word, occurrences) in a task's texts; flushed when many words have come together."""
-    from collections import Counter
-
-    seen: Counter = Counter()
-
-    def out():
-        return pd.DataFrame({"word": [w.decode() for w in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
+    """(word, occurrences) in some texts at a time."""
+    import pyarrow as pa
 
-    for pdf in batches:
-        for text in pdf["text"]:
-            seen.update(tokens_of(text))
-        if len(seen) > 300_000:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in chunks_of(texts, 8 * _CHUNK):
+            found = word_rows(texts.slice(lo, hi - lo))[0].value_counts()
+            words, n = found.field("values"), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END.decode()], words.type)]), pa.concat_arrays([n, pa.array([hi - lo], n.type)])], ["word", "n"])
 
 
 def _scores(sent):
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         w, bias, own, class_norm, head_words, head_counts = sent.value
         head = dict(zip(head_words, head_counts))
-        ctx, nth = Contexts(own, head), TaskContext.get().partitionId() << 36
-        for pdf in batches:
-            made = []
-            texts = pdf["text"].tolist()
-            lo = 0
-            while lo < len(texts):
-                sizes, toks, hi = [], [], lo
-                while hi < len(texts) and len(toks) < 4 * _STEP:
-                    t = tokens_of(texts[hi])
-                    sizes.append(len(t))
-                    toks += t
-                    hi += 1
-                n, toks, first = _chunk(sizes, toks)
-                ids, k, rows = ctx(toks, first)
-                gain = np.empty(len(toks))
-                for a in range(0, len(toks), _STEP):
+        nth = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in chunks_of(texts, _CHUNK):
+                distinct, codes, n = coded(texts.slice(lo, hi - lo))
+                words = distinct.cast(pa.binary()).to_pylist()
+                k = classes_of(distinct, own)[codes]
+                rows = context_rows(hashes_of(words)[codes], k, n)
+                gain = np.empty(len(codes))
+                for a in range(0, len(codes), _STEP):
                     gain[a : a + _STEP] = log_probability(w, bias, rows[a : a + _STEP], k[a : a + _STEP])
                 gain -= class_norm[k]
-                c = ctx.counts[ids]
+                c = np.fromiter(map(head.get, words, repeat(0)), np.int64, len(words))
+                logs = np.log10(c + 1.0)
                 starts = np.cumsum(n) - n
-                rare = np.flatnonzero(c == 0)
-                cuts = np.searchsorted(rare, np.append(starts, len(toks))).tolist()
-                rare_words = [toks[i] for i in rare.tolist()]
-                tails = [b" ".join(rare_words[x:y]).decode() for x, y in zip(cuts, cuts[1:])]
-                made.append(
-                    pd.DataFrame(
-                        {"n_tokens": n, "head_known": np.add.reduceat((c > 0).astype(np.int64), starts), "head_log": np.add.reduceat(np.log10(c + 1.0), starts), "gain": np.add.reduceat(gain, starts), "tail": tails}
-                    )
-                )
-                lo = hi
-            if not made:
-                continue
-            out = pd.concat(made, ignore_index=True)
-            out.insert(0, "held_out", pdf["held_out"].to_numpy())
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object))
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            out.insert(0, "uid", nth + np.arange(len(out)))
-            nth += len(out)
-            yield out
+                rare = np.flatnonzero((c == 0)[codes])
+                cuts = np.searchsorted(rare, np.append(starts, len(codes))).astype(np.int32)
+                tails = pa.ListArray.from_arrays(cuts, distinct.take(pa.array(codes[rare])))
+                columns = {
+                    "uid": nth + np.arange(len(n)),
+                    "doc_id": batch.column("doc_id").slice(lo, hi - lo),
+                    "held_out": batch.column("held_out").slice(lo, hi - lo),
+                    "n_tokens": n,
+                    "head_known": np.add.reduceat((c > 0)[codes].astype(np.int64), starts),
+                    "head_log": np.add.reduceat(logs[codes], starts),
+                    "gain": np.add.reduceat(gain, starts),
+                    "tail": pc.binary_join(tails, " "),
+                }
+                nth += len(n)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -297,7 +285,7 @@ def score(docs: DataFrame, head: int = 1 << 17, mod: int = 7, held: int = 2) ->
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket_of(F.col("doc_id"), mod).alias("fold"))
     training = slim.filter(F.col("fold") != held)
-    counts = stored(training.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    counts = stored(training.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
     top = most_frequent(counts, "word", "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
     # the end of a text is a word like others here; words that share a count with the last of the table are looked up by the join
     own = {w.encode(): i for i, w in enumerate(top["word"][:OWN])}
@@ -313,7 +301,7 @@ def score(docs: DataFrame, head: int = 1 << 17, mod: int = 7, held: int = 2) ->
     w, bias = train(slim, [known[0::2], known[1::2]], np.log((size + 1) / (size + 1).sum()), own) if total else (np.zeros((ROWS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
     sent = spark.sparkContext.broadcast((w, bias, own, np.log10(size + kinds + 1), [w.encode() for w in top["word"]], top["c"].tolist()))
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, gain double, tail string"
-    rows = stored(slim.select("doc_id", "text", (F.col("fold") == held).alias("held_out")).mapInPandas(_scores(sent), schema))
+    rows = stored(slim.select("doc_id", "text", (F.col("fold") == held).alias("held_out")).mapInArrow(_scores(sent), schema))
     tail = rows.filter("tail <> ''").select("uid", F.explode(F.split("tail", " ")).alias("word")).join(counts, "word").groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
     out = rows.drop("tail").join(tail, "uid", "left")
     logs = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import chunks_of
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
@@ -420,16 +422,13 @@ def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
 def _encode(path: str, extra: bool):
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         tok = tokenizer(path)
         enc = BatchEncoder(tok)
         is_byte = tok.vocabulary.kinds == BYTE
         for batch in batches:
             texts = batch.column("text").fill_null("").cast(pa.binary())
-            length = pc.binary_length(texts).to_numpy().astype(np.int64)
-            cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // _CHUNK, prepend=-1, append=-1)).tolist()
-            for lo, hi in zip(cuts, cuts[1:]):
+            for lo, hi in chunks_of(batch.column("text"), _CHUNK):
                 part = texts.slice(lo, hi - lo)
                 ids, at = enc(part)
                 columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(at.astype(np.int32), ids), "n_tokens": np.diff(at)}

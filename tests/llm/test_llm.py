@@ -761,6 +761,45 @@ def test_log_probabilities_hold_at_any_logits():
         assert np.allclose(language_model.probabilities(w, bias, rows).sum(axis=1), 1, atol=1e-5)
 
 
+def test_words_of_arrow_rows_are_those_of_single_texts():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = [None, "", " ", "\x0b\x0c", "\x1c a\x1f\x85b\xa0c"] + ["".join(rng.choice(["a", "AB", "É", "漢", "😀", "\x00", "\x1d", "\u2003", *common.SPACES]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for part in (texts, texts[:1], texts[1:3], []):
+        found, sizes = common.word_rows(pa.array(part, pa.string()))
+        at = np.append(0, np.cumsum(sizes))
+        assert [[w.encode() for w in found.slice(x, y - x).to_pylist()] for x, y in zip(at, at[1:])] == [common.words(t) for t in part]
+        for size in (1, 7, 1 << 20):
+            cuts = list(common.chunks_of(pa.array(part, pa.string()), size))
+            assert [i for x, y in cuts for i in range(x, y)] == list(range(len(part))) and all(x < y for x, y in cuts)
+
+
+def test_lm_takes_texts_apart_in_arrow_as_word_by_word(monkeypatch):
+    import pyarrow as pa
+    import xxhash
+
+    rng = random.Random(18)
+    texts = [None, "", *[prose(rng, rng.randint(0, 40)) + rng.choice(["", " Éa", " 漢字", "\tX"]) for _ in range(120)]]
+    tokens = [[*common.words(t), language_model.END] for t in texts]
+    own = {w: i for i, (w, _) in enumerate(Counter(w for t in tokens for w in t).most_common(language_model.OWN))}
+    batches = [pa.record_batch({"text": pa.array(texts[lo : lo + 50], pa.string())}) for lo in range(0, len(texts), 50)]
+    counted = Counter()
+    for got in language_model._counts(batches):
+        assert len(set(got["word"].to_pylist())) == got.num_rows
+        counted.update({w.encode(): n for w, n in zip(got["word"].to_pylist(), got["n"].to_pylist())})
+    assert counted == Counter(w for t in tokens for w in t)
+    monkeypatch.setattr(language_model, "_CHUNK", 700)
+    pieces_of, i = list(language_model._chunks(iter(batches), own, 100)), 0
+    for h, k, sizes in pieces_of:
+        part = [w for t in tokens[i : i + len(sizes)] for w in t]
+        assert sizes.tolist() == [len(t) for t in tokens[i : i + len(sizes)]]
+        assert h.tolist() == [xxhash.xxh3_64_intdigest(w) for w in part] and k.tolist() == [language_model.class_of(w, own) for w in part]
+        i += len(sizes)
+        assert len(part) - sizes[-1] < 100 <= len(part) or i == len(texts)
+    assert i == len(texts)
+
+
 def test_lm_run_sums_are_those_of_a_loop():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 5)).astype(np.float32)
